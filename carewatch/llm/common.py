@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         self.path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def sub(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -42,6 +44,33 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.sub(name))
         return self.spark.read.schema(df.schema).parquet(self.sub(name))
 
+    def in_place(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df as a table bucketed by the task that wrote a row (column part) and return it.
+
+        Each task writes one file and nothing is shuffled. Joins on part and further columns
+        under together() move the other side to these rows; drop_table() deletes the table.
+        """
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.withColumn("part", F.spark_partition_id()).write.option("path", self.sub(name)).bucketBy(n, "part").saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
+    @contextmanager
+    def together(self):
+        """While this holds, a join on part and further columns needs both sides dealt by part alone."""
+        key = "spark.sql.requireAllClusterKeysForCoPartition"
+        old = self.spark.conf.get(key)
+        self.spark.conf.set(key, "false")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, old)
+
+    def drop_table(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {self.tables.pop(name)}")
+        self.drop(name)
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

@@ -11,6 +11,7 @@ from .langid import op9_langid
 from .mixing import op7_mix
 from .quality import op2_quality
 from .simhash import op3_simhash
+from .suffix import op5_suffix
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_quality": lambda spark, d: op2_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_simhash": lambda spark, d: op3_simhash(table(spark, d, "documents")),
     "op4_exact": lambda spark, d: classes(table(spark, d, "documents")),
+    "op5_suffix": lambda spark, d: op5_suffix(table(spark, d, "documents")),
     "op6_bpe": lambda spark, d: op6_bpe(spark, table(spark, d, "documents")),
     "op7_mix": lambda spark, d: op7_mix(table(spark, d, "documents")),
     "op8_embdup": lambda spark, d: op8_embdup(table(spark, d, "embeddings")),
