@@ -54,6 +54,7 @@ def tagged(docs: DataFrame, make_tagger: Callable, name: str) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  a tagger of the caller's may fail in any way
                     rows.append({"doc_id": doc_id, "ner_model": name, "warning": f"{type(e).__name__}: {e}"[:200]})
             out = pd.DataFrame(rows).reindex(columns=columns)
-            yield out.astype({"start": "Int32", "end": "Int32", "score": "float64"})
+            out = out.astype({"start": "Int32", "end": "Int32", "score": "float64"})
+            yield out.astype({"text": "object", "label": "object", "warning": "object"}).where(out.notna(), None)
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, ENTITY)
