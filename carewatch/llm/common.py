@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -50,22 +52,40 @@ class Scratch:
         Each task writes one file and nothing is shuffled. Joins on part and further columns
         under together() move the other side to these rows; drop_table() deletes the table.
         """
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"{name}_{uuid.uuid4().hex}"
-        df.withColumn("part", F.spark_partition_id()).write.option("path", self.sub(name)).bucketBy(n, "part").saveAsTable(table)
+        put = df.withColumn("part", F.spark_partition_id()).write.option("path", self.sub(name)).option("compression", "zstd")
+        put.bucketBy(n, "part").saveAsTable(table)
         self.tables[name] = table
         return self.spark.table(table)
 
     @contextmanager
-    def together(self):
-        """While this holds, a join on part and further columns needs both sides dealt by part alone."""
-        key = "spark.sql.requireAllClusterKeysForCoPartition"
-        old = self.spark.conf.get(key)
-        self.spark.conf.set(key, "false")
+    def conf(self, **want: str):
+        """While this holds, SQL settings (dots as __) have other values."""
+        want = {"spark.sql." + k.replace("__", "."): v for k, v in want.items()}
+        old = {k: self.spark.conf.get(k) for k in want}
+        for k, v in want.items():
+            self.spark.conf.set(k, v)
         try:
             yield
         finally:
-            self.spark.conf.set(key, old)
+            for k, v in old.items():
+                self.spark.conf.set(k, v)
+
+    def small_batches(self, size: str = "8m"):
+        """While this holds, Python workers get texts in batches of a bounded size."""
+        return self.conf(execution__arrow__maxBytesPerBatch=size)
+
+    def together(self):
+        """While this holds, a join on part and further columns needs both sides dealt by part alone; batches are bounded."""
+        return self.conf(requireAllClusterKeysForCoPartition="false", execution__arrow__maxBytesPerBatch="16m")
+
+    def free(self) -> None:
+        """Let the driver notice which shuffles nothing refers to any more; Spark then deletes their files."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop_table(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE {self.tables.pop(name)}")

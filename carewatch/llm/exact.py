@@ -102,7 +102,8 @@ def classes(docs: DataFrame, chunk: int = CHUNK, fields=FIELDS) -> DataFrame:
     gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    parts = scratch.stored(chunks_of(docs, chunk), "chunks")
+    parts = scratch.in_place(chunks_of(docs, chunk), "chunks")
+    home = F.shiftright("uid", 33).cast("int").alias("part")  # the task that numbered a row wrote it
     prints = scratch.stored(fingerprints(parts, chunk, fields), "prints")
     key = ["n_bytes", "f0", "f1"]
     open_, assigned, k = prints.select("uid", *key), None, 0
@@ -110,15 +111,17 @@ def classes(docs: DataFrame, chunk: int = CHUNK, fields=FIELDS) -> DataFrame:
         k += 1
         reps = open_.groupBy(*key).agg(F.min("uid").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
         members = scratch.stored(open_.join(reps, key).select("uid", "rep"), f"members{k}")
-        data = parts.select("uid", "idx", "chunk")
-        theirs = data.join(members.where("uid != rep"), "uid").select("uid", "rep", "idx", "chunk")
-        first = data.join(members.select(F.col("rep").alias("uid")).distinct(), "uid").select(F.col("uid").alias("rep"), "idx", F.col("chunk").alias("want"))
-        odd = scratch.stored(theirs.join(first, ["rep", "idx"]).where("chunk != want").select("uid").distinct(), f"odd{k}")
+        data = parts.select("part", "uid", "idx", "chunk")
+        with scratch.together():
+            theirs = data.join(members.where("uid != rep").select(home, "uid", "rep"), ["part", "uid"]).select("uid", "rep", "idx", "chunk")
+            first = data.join(members.select(F.col("rep").alias("uid")).distinct().select(home, "uid"), ["part", "uid"]).select(F.col("uid").alias("rep"), "idx", F.col("chunk").alias("want"))
+            odd = scratch.stored(theirs.join(first, ["rep", "idx"]).where("chunk != want").select("uid").distinct(), f"odd{k}")
         same = members.join(odd, "uid", "left_anti")
         assigned = same if assigned is None else assigned.union(same)
         if odd.isEmpty():
             break
         open_ = prints.join(odd, "uid", "left_semi").select("uid", *key)
+    scratch.drop_table("chunks")
     rows = prints.join(assigned.withColumnRenamed("rep", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
     rows = rows.select("uid", "doc_id", "n_chars", "sha", "class")
     order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "uid")
