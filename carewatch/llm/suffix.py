@@ -7,15 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 #: Bytes of a repeated string, of an anchor, and of a segment of a long document.
-LENGTH, GRAM, SEGMENT = 50, 24, 1 << 20
+LENGTH, GRAM, SEGMENT = 50, 20, 1 << 20
 #: Bytes of texts looked at together, and of contexts sorted together. Names of the sort stay under 2**21.
-BLOCK, SORTED = 1 << 20, 1 << 21
+BLOCK, SORTED = 1 << 17, 1 << 20
 NO_DOC = (1 << 63) - 1
 BASE = 0x9E3779B97F4A7C15
 U = np.uint64
@@ -184,53 +184,51 @@ def column_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-POSTED = "key long, part int, uid long, pos int, kind int"
+POSTED = "key long, uid long, pos int"
 
 
 def post_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors by hash (kind 0). One that several texts of a batch share is known to be shared: it goes by its text (kind 1), and one row for all by hash."""
+    """Anchors by hash. One that several texts of a batch share is known to be shared: it goes by its text, with pos as -2 - pos, and one row with pos -1 for all goes by hash."""
     for batch in batches:
-        uid, seg, part = (column_of(batch, c) for c in ("uid", "start", "part"))
+        uid, seg = column_of(batch, "uid"), column_of(batch, "start")
         hs, us, ps = [], [], []
         for rows, data, ends in blocks(batch):
             a = Anchors(data, ends)
             row = np.searchsorted(ends, a.at, side="right")
-            begin = np.r_[0, ends[:-1]][row]
             hs.append(a.hash)
             us.append(uid[rows[row]])
-            ps.append(a.at - begin + seg[rows[row]])
+            ps.append((a.at - np.r_[0, ends[:-1]][row] + seg[rows[row]]).astype(np.int32))
         if not hs:
             continue
         h, u, p = np.concatenate(hs), np.concatenate(us), np.concatenate(ps)
         if not len(h):
             continue
-        order = np.lexsort((u, h))
-        h, u, p = h[order], u[order], p[order]
-        new = np.r_[True, h[1:] != h[:-1]]
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(h)] - 1
-        shared_run = u[first] != u[last]
-        shared = shared_run[np.cumsum(new) - 1]
-        n = int(shared_run.sum())
-        key = np.r_[np.where(shared, u, h), h[first[shared_run]]]
-        yield pa.record_batch([pa.array(key), pa.array(np.full(len(key), part[0], np.int32)), pa.array(np.r_[u, np.full(n, -1)]), pa.array(np.r_[p, np.full(n, -1)].astype(np.int32)), pa.array(np.r_[shared, np.zeros(n, bool)].astype(np.int32))], ["key", "part", "uid", "pos", "kind"])
+        order = np.argsort(h, kind="stable")
+        line, texts = h[order], u[order]
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        several = np.minimum.reduceat(texts, first) != np.maximum.reduceat(texts, first)
+        shared = np.empty(len(h), dtype=bool)
+        shared[order] = np.repeat(several, np.diff(np.r_[first, len(h)]))
+        n = int(several.sum())
+        key, pos = np.r_[np.where(shared, u, h), line[first[several]]], np.r_[np.where(shared, -2 - p, p), np.full(n, -1)]
+        yield pa.record_batch([pa.array(key), pa.array(np.r_[u, np.full(n, -1)]), pa.array(pos.astype(np.int32))], ["key", "uid", "pos"])
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, uid, pos) of the anchors that more than one text has, from rows sorted by kind and key."""
+    """(uid, pos) of the anchors that more than one text has, from rows sorted by key."""
     held = None
-    out = lambda t, u, p: pa.record_batch([pa.array(t), pa.array(u), pa.array(p)], ["part", "uid", "pos"])
+    out = lambda u, p: pa.record_batch([pa.array(u), pa.array(p)], ["uid", "pos"])
 
-    def runs(k, t, u, p):
+    def runs(k, u, p):
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         shared = np.repeat(np.minimum.reduceat(u, first) != np.maximum.reduceat(u, first), np.diff(np.r_[first, len(k)])) & (p >= 0)
-        return out(t[shared], u[shared], p[shared])
+        return out(u[shared], p[shared])
 
     for batch in batches:
-        rows = [column_of(batch, c) for c in ("key", "part", "uid", "pos")]
-        known = column_of(batch, "kind") == 1
+        rows = [column_of(batch, c) for c in ("key", "uid", "pos")]
+        known = rows[2] < -1
         if known.any():
-            yield out(*(x[known] for x in rows[1:]))
+            yield out(rows[1][known], -2 - rows[2][known])
         rows = [x[~known] for x in rows]
         if held is not None:
             rows = [np.r_[a, b] for a, b in zip(held, rows)]
@@ -244,129 +242,148 @@ def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield runs(*held)
 
 
-CONTEXT = "key long, part int, doc long, uid long, start int, size int, ctx binary"
+CONTEXT = "key long, uid long, doc long, start int, size int, ctx binary"
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each shared anchor the windows that it stands for, as one context by hash. Where the batch has the same context in a smaller document, all its windows repeat: such rows have no context."""
     for batch in batches:
-        uid, doc, seg, task = (column_of(batch, c) for c in ("uid", "doc", "start", "part"))
+        uid, doc, seg = (column_of(batch, c) for c in ("uid", "doc", "start"))
         found = batch.column("found")
-        rows_out: list = []
+        offsets, values = found.offsets.to_numpy(), found.values.to_numpy()
+        cols: list[list[np.ndarray]] = [[] for _ in range(5)]
+        ctx: list[bytes] = []
         for rows, data, ends in blocks(batch):
             a = Anchors(data, ends)
             if not len(a.start):
                 continue
             begin = np.r_[0, ends[:-1]]
             row = np.searchsorted(ends, a.at, side="right")
-            wanted = np.zeros(len(a.at), dtype=bool)
-            borders = np.searchsorted(row, np.arange(len(rows) + 1))
-            for r in range(len(rows)):
-                if borders[r] < borders[r + 1]:
-                    pos = a.at[borders[r] : borders[r + 1]] - begin[r] + seg[rows[r]]
-                    wanted[borders[r] : borders[r + 1]] = np.isin(pos, found[int(rows[r])].values.to_numpy())
+            here = slice(offsets[rows[0]], offsets[rows[-1] + 1])
+            owner = np.repeat(np.arange(len(rows)), np.diff(offsets[rows[0] : rows[-1] + 2]))
+            wanted = np.isin(row << 32 | a.at - begin[row] + seg[rows[row]], owner << 32 | values[here].astype(np.int64))
             new = np.flatnonzero(np.r_[True, a.of[1:] != a.of[:-1]])  # windows of an anchor are neighbours
             low, high, anchor = a.start[new], a.start[np.r_[new[1:], len(a.start)] - 1] + LENGTH, a.of[new]
             keep = wanted[anchor]
             low, high, anchor = low[keep], high[keep], anchor[keep]
-            r = row[anchor]
+            r = rows[row[anchor]]
+            for column, x in zip(cols, (a.hash[anchor], uid[r], doc[r], (low - begin[row[anchor]] + seg[r]).astype(np.int32), (high - low).astype(np.int32))):
+                column.append(x)
             raw = data.tobytes()
-            rows_out += zip(a.hash[anchor].tolist(), task[rows[r]].tolist(), doc[rows[r]].tolist(), uid[rows[r]].tolist(), (low - begin[r] + seg[rows[r]]).tolist(), (high - low).tolist(), [raw[i:j] for i, j in zip(low.tolist(), high.tolist())])
+            ctx += [raw[i:j] for i, j in zip(low.tolist(), high.tolist())]
+        if not ctx:
+            continue
+        key, u, d, start, size = map(np.concatenate, cols)
         least: dict = {}
-        for _, _, d, _, _, _, ctx in rows_out:
-            if d < least.get(ctx, NO_DOC + 1):
-                least[ctx] = d
-        for k in range(0, len(rows_out), 20_000):
-            part = [(u if d > least[c] else key, t, d, u, s, z, None if d > least[c] else c) for key, t, d, u, s, z, c in rows_out[k : k + 20_000]]
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*part), types)], ["key", "part", "doc", "uid", "start", "size", "ctx"])
+        for c, x in zip(ctx, d.tolist()):
+            if x < least.get(c, NO_DOC + 1):
+                least[c] = x
+        known = d > np.fromiter(map(least.__getitem__, ctx), dtype=np.int64, count=len(ctx))
+        if known.any():
+            yield direct(u[known], d[known], start[known], size[known])
+        rest = np.flatnonzero(~known)
+        for k in range(0, len(rest), 20_000):
+            z = rest[k : k + 20_000]
+            part = pa.array([ctx[i] for i in z.tolist()], type=pa.binary())
+            yield pa.record_batch([*map(pa.array, (key[z], u[z], d[z], start[z], size[z])), part], ["key", "uid", "doc", "start", "size", "ctx"])
+
+
+def direct(uid: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """Spans that are known to repeat, neighbours of a text merged, as rows without a context."""
+    order = np.lexsort((start, uid))
+    uid, doc, start, stop = uid[order], doc[order], start[order], (start + size)[order]
+    first = np.flatnonzero(np.r_[True, (uid[1:] != uid[:-1]) | (start[1:] > stop[:-1])])  # contexts of a text begin and end in one order
+    stop = stop[np.r_[first[1:], len(uid)] - 1]
+    cols = uid[first], uid[first], doc[first], start[first], stop - start[first]
+    return pa.record_batch([*map(pa.array, cols), pa.nulls(len(first), pa.binary())], ["key", "uid", "doc", "start", "size", "ctx"])
 
 
-SPANS = "part int, uid long, doc long, start int, size int, ctx binary"
+SPANS = "uid long, doc long, start int, size int, ctx binary"
 
 
 def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated spans from contexts sorted by key: those of a few groups are suffix-sorted together.
 
-    A group of more than SORTED bytes isn't held: its contexts go on as they are.
+    Of equal contexts all but those in the smallest document repeat; one of each takes part
+    in the sort. A group of more than SORTED bytes isn't held: its contexts go on as they are.
     """
-    names = ["part", "uid", "doc", "start", "size", "ctx"]
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    out = lambda *cols: pa.record_batch([pa.array(c, type=t) for c, t in zip(cols, types)], names)
-    ready: list = []  # of whole groups
-    group: list = []
+    names = ["uid", "doc", "start", "size", "ctx"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    ready: list = []  # contexts of whole groups: (context, document, [(uid, start)])
+    group: dict = {}  # context -> [smallest document, rows there]
+    known: list = []  # spans that need no sort
     ready_size = group_size = 0
     now, large = None, False
 
-    def spans(rows):
-        parts, uids, docs, starts, sizes, ctx = zip(*rows)
-        raw = np.frombuffer(b"".join(ctx), dtype=np.uint8)
-        sizes = np.array(sizes, dtype=np.int64)
-        begin = np.cumsum(sizes) - sizes
-        n = sizes - LENGTH + 1
-        owner = np.repeat(np.arange(len(rows)), n)
+    def out(rows):
+        return pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names)
+
+    def spans():
+        raw = np.frombuffer(b"".join(r[0] for r in ready), dtype=np.uint8)
+        sizes = np.array([len(r[0]) for r in ready], dtype=np.int64)
+        begin, n = np.cumsum(sizes) - sizes, sizes - LENGTH + 1
+        owner = np.repeat(np.arange(len(ready)), n)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        hit = repeats(raw, begin[owner] + inner, np.array(docs, dtype=np.int64)[owner])
+        hit = repeats(raw, begin[owner] + inner, np.array([r[1] for r in ready], dtype=np.int64)[owner])
         owner, inner = owner[hit], inner[hit]
-        if not len(owner):
-            return None
-        new = np.r_[True, (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)]
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)][: len(owner)])
         last = np.r_[first[1:], len(owner)] - 1
-        o = owner[first]
-        at = np.array(starts, dtype=np.int64)[o] + inner[first]
-        return out(np.array(parts, dtype=np.int32)[o], np.array(uids)[o], np.array(docs)[o], at.astype(np.int32), (inner[last] - inner[first] + LENGTH).astype(np.int32), [None] * len(o))
+        for o, a, b in zip(owner[first].tolist(), inner[first].tolist(), inner[last[: len(first)]].tolist()):
+            known.extend((uid, ready[o][1], start + a, b - a + LENGTH, None) for uid, start in ready[o][2])
 
     def close_group():
-        nonlocal ready, ready_size, group, group_size
-        if group and any(r[2] != group[0][2] for r in group):
-            ready += group
+        nonlocal group, group_size, ready_size
+        if len(group) > 1 and len({g[0] for g in group.values()}) > 1:
+            ready.extend((c, d, rows) for c, (d, rows) in group.items())
             ready_size += group_size
-        group, group_size = [], 0
-
-    def flush(least):
-        nonlocal ready, ready_size
-        if ready and ready_size >= least:
-            got = spans(ready)
-            ready, ready_size = [], 0
-            if got is not None:
-                yield got
+        group, group_size = {}, 0
 
     for batch in batches:
         cols = batch.to_pydict()
-        direct = [k for k, c in enumerate(cols["ctx"]) if c is None]
-        if direct:
-            yield out(*([cols[n][k] for k in direct] for n in names))
-        rest: list = []
-        for key, part, uid, doc, start, size, ctx in zip(cols["key"], *(cols[n] for n in names)):
+        for key, uid, doc, start, size, ctx in zip(cols["key"], *(cols[n] for n in names)):
             if ctx is None:
+                known.append((uid, doc, start, size, None))
                 continue
             if key != now:
                 close_group()
                 if ready_size >= SORTED // 2:
-                    yield from flush(0)
+                    spans()
+                    ready, ready_size = [], 0
                 now, large = key, False
             if large:
-                rest.append((part, uid, doc, start, size, ctx))
+                known.append((uid, doc, start, size, ctx))
                 continue
-            group.append((part, uid, doc, start, size, ctx))
-            group_size += size
+            held = group.get(ctx)
+            if held is None:
+                group[ctx] = [doc, [(uid, start)]]
+                group_size += size
+            elif doc > held[0]:
+                known.append((uid, doc, start, size, None))
+            elif doc == held[0]:
+                held[1].append((uid, start))
+            else:
+                known.extend((u, held[0], s, size, None) for u, s in held[1])
+                group[ctx] = [doc, [(uid, start)]]
             if group_size > SORTED // 2:
                 large = True
-                rest += group
-                group, group_size = [], 0
-        if rest:
-            yield out(*zip(*rest))
+                known.extend((u, d, s, len(c), c) for c, (d, rows) in group.items() for u, s in rows)
+                group, group_size = {}, 0
+        if len(known) >= 10_000:
+            yield out(known)
+            known.clear()
     close_group()
-    yield from flush(0)
+    if ready:
+        spans()
+    if known:
+        yield out(known)
 
 
 def large_groups(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans of contexts that were too many for one task: every window on its own, counted by its bytes before the shuffle."""
     at = F.explode(F.sequence(F.lit(1), F.col("size") - length + 1))
-    windows = rows.select("part", "uid", "doc", "start", "ctx", at.alias("k")).select("part", "uid", "doc", (F.col("start") + F.col("k") - 1).cast("int").alias("start"), F.substring("ctx", F.col("k"), F.lit(length)).alias("w"))
+    windows = rows.select("uid", "doc", "start", "ctx", at.alias("k")).select("uid", "doc", (F.col("start") + F.col("k") - 1).cast("int").alias("start"), F.substring("ctx", F.col("k"), F.lit(length)).alias("w"))
     least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    return windows.join(least, "w").where("doc > least").select("part", "uid", "start", F.lit(length).alias("size"))
+    return windows.join(least, "w").where("doc > least").select("uid", "start", F.lit(length).alias("size"))
 
 
 # ---- the operator ------------------------------------------------------------------------
@@ -430,17 +447,25 @@ def merged(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.stack([low[first], high[np.r_[first[1:], len(low)] - 1]], axis=1)
 
 
+def home() -> Column:
+    """The task that numbered a row, and wrote it."""
+    return F.shiftright("uid", 33).cast("int").alias("part")
+
+
 def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(part, uid, start, size) of every span of `texts` that repeats a smaller document's; they overlap and touch."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    posted = texts.select("part", "uid", "start", "data").mapInArrow(post_anchors, POSTED).repartition(n, "key").sortWithinPartitions("kind", "key")
-    shared = posted.mapInArrow(shared_anchors, "part int, uid long, pos int")
     with scratch.together():
-        shared = shared.repartition(n, "part").groupBy("part", "uid").agg(F.collect_list("pos").alias("found"))
-        rows = texts.select("part", "uid", "doc", "start", "data").hint("merge").join(shared, ["part", "uid"])
+        posted = texts.select("uid", "start", "data").mapInArrow(post_anchors, POSTED).repartition(n, "key").sortWithinPartitions("key")
+        shared = scratch.stored(posted.mapInArrow(shared_anchors, "uid long, pos int"), "shared")
+        scratch.free()
+        shared = shared.select(home(), "uid", "pos").groupBy("part", "uid").agg(F.collect_list("pos").alias("found"))
+        rows = texts.select("part", "uid", "doc", "start", "data").hint("merge").join(shared, ["part", "uid"]).drop("part")
         ctx = rows.mapInArrow(contexts, CONTEXT).repartition(n, "key").sortWithinPartitions("key")
         found = scratch.stored(ctx.mapInArrow(sort_contexts, SPANS), "spans")
-    return found.where("ctx is null").select("part", "uid", "start", "size").union(large_groups(found.where("ctx is not null")))
+        scratch.free()
+        scratch.drop("shared")
+    return found.where("ctx is null").select(home(), "uid", "start", "size").union(large_groups(found.where("ctx is not null")).select(home(), "uid", "start", "size"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -459,9 +484,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     before the shuffle, so a passage of very many documents stays small.
     """
     scratch = Scratch(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = scratch.in_place(segmented(docs), "texts")
-    spans = repeated_spans(texts, scratch).repartition(n, "part")
+    spans = repeated_spans(texts, scratch)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     with scratch.together():
         runs = spans.groupBy("part", "uid").agg(F.collect_list("start").alias("low"), F.collect_list(F.col("start") + F.col("size")).alias("high"))
