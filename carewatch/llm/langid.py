@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 from .quality import held_out
 
 #: Most documents of a language that a model is fitted on, and most languages.
@@ -127,7 +127,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     def guess(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang", "score"])
 
-    return docs.withColumn("_guess", guess("text")).withColumn("lang_pred", F.col("_guess.lang")).withColumn("score", F.col("_guess.score")).drop("_guess")
+    both = fresh(docs, "_guess")
+    return docs.withColumn(both, guess("text")).withColumn("lang_pred", F.col(f"{both}.lang")).withColumn("score", F.col(f"{both}.score")).drop(both)
 
 
 def op9_langid(docs: DataFrame) -> DataFrame:

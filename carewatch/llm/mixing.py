@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, fresh
 
 #: Words of a block.
 BLOCK = 32
@@ -117,7 +117,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     got = mix(docs, **options).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_n"))
     got = got.groupBy("doc_id").agg(F.max("_n").alias("_n"))
     out = docs.alias("d").join(got.alias("g"), F.expr("d.doc_id <=> g.doc_id"))
-    return out.select("d.*", F.explode(F.sequence(F.lit(1), F.col("g._n"))).alias("_copy")).drop("_copy")
+    copy = fresh(docs, "_copy")
+    return out.select("d.*", F.explode(F.sequence(F.lit(1), F.col("g._n"))).alias(copy)).drop(copy)
 
 
 def op7_mix(docs: DataFrame) -> DataFrame:

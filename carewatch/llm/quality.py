@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE, Scratch, fresh
 
 #: Most labelled rows a model is fitted on, those with the smallest hashes of doc_id.
 FIT_ROWS = 20_000
@@ -112,10 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, may_learn:
     return RuleModel(names, float(lasso.intercept), [(float(w), r) for w, r in zip(weights, rules) if w != 0.0])
 
 
-def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """docs with score (0 to 1); a column of that name is replaced. The expression runs in the JVM row by row."""
-    stats = F.array(*(c.cast("double") for c in statistics(F.col("text")).values()))
-    return docs.withColumn("_stats", stats).withColumn("score", model.score(F.col("_stats"))).drop("_stats")
+def scored(docs: DataFrame, model: RuleModel, score: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1; a column of that name is replaced. The expression runs in the JVM row by row."""
+    stats = fresh(docs, "_stats")
+    numbers = F.array(*(c.cast("double") for c in statistics(F.col("text")).values()))
+    return docs.withColumn(stats, numbers).withColumn(score, model.score(F.col(stats))).drop(stats)
 
 
 def held_out(doc_id: Column, modulus: int, kept: int) -> Column:
@@ -131,5 +132,6 @@ def op2_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs that score at least threshold, with the columns of docs."""
-    return scored(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    """docs that score at least threshold, with the columns of docs; the model is fitted on all of labels (see fit)."""
+    score = fresh(docs, "_score")
+    return scored(docs, fit(docs, labels), score).where(F.col(score) >= threshold).drop(score)

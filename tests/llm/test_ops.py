@@ -457,6 +457,20 @@ def test_chat_folds_events(spark):
         chat.fold(frame.withColumn("kind", F.lit("boo"))).count()
 
 
+def test_extra_columns_with_clashing_names(spark, docs):
+    """Columns that are named like those the operators work with come through untouched."""
+    names = ["uid", "part", "key", "_stats", "_score", "Score", "_copy", "_n", "kept", "fp", "class", "stats", "size", "target", "place", "idx", "chunk", "data", "start", "lang_pred"]
+    wide = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    labels = spark.createDataFrame([(7 * k % 1009, k % 2) for k in range(40)], "doc_id long, quality int")
+    good = quality.keep_good(wide, labels)
+    for out in (good, exact.exact_dedup(wide), simhash.near_dedup(wide), mixing.mixed_documents(wide)):
+        assert out.columns == wide.columns
+        assert out.count() > 0 and out.where(" or ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0
+    assert suffix.without_repeats(wide).count() == wide.count() and exact.classes(wide).count() == wide.count()
+    assert "lang_pred" in langid.predicted(wide, langid.fit(wide)).columns
+    assert simhash.op3_simhash(wide).count() == mixing.mix(wide).count() == wide.count()
+
+
 def test_native_operators_use_no_python(spark, docs):
     turns = spark.read.parquet(f"{DATA}/conversations.parquet")
     for frame in (chat.op10_chat(turns), mixing.mix(docs)):
