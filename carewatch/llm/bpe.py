@@ -15,8 +15,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: States and pairs, and pieces of text, that a worker remembers before it starts afresh; what it gives doesn't depend on them.
-MOST, PIECES = 250_000, 400_000
+MOST, PIECES = 150_000, 300_000
 #: Longest piece whose ids are remembered, in characters.
 WORD_CHARS = 48
 
@@ -26,6 +28,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def spelled(ranks: dict[bytes, int]) -> list[bytes]:
+    """The bytes of each token."""
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for word, rank in ranks.items():
+        out[rank] = word
+    return out
+
+
 class State(dict):
     """byte -> (next state, ids written); a move is made when it is first asked for."""
 
@@ -53,18 +63,19 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int], most: int = MOST):
         self.ranks, self.most = ranks, most
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        self.kids: list[dict[int, int]] = [{}]
-        self.token = [-1]
+        self.bytes_of = spelled(ranks)
+        self.kids: dict[int, int] = {}  # node << 8 | byte -> node
+        self.token, self.inner = array("i", [-1]), bytearray(1)
         for word, rank in ranks.items():
-            self.bytes_of[rank] = word
             node = 0
             for b in word:
-                if b not in self.kids[node]:
-                    self.kids[node][b] = len(self.kids)
-                    self.kids.append({})
+                child = self.kids.get(node << 8 | b)
+                if child is None:
+                    child = self.kids[node << 8 | b] = len(self.token)
+                    self.inner[node] = 1
                     self.token.append(-1)
-                node = self.kids[node][b]
+                    self.inner.append(0)
+                node = child
             self.token[node] = rank
         self.follows: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
@@ -119,12 +130,12 @@ class Transducer:
     def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         """The next state and what is written."""
         ways = []
-        kids, token_of = self.kids, self.token
+        kids, token_of, inner = self.kids, self.token, self.inner
         for before, node, pending in state.ways:
-            child = kids[node].get(byte)
+            child = kids.get(node << 8 | byte)
             if child is None:
                 continue
-            if kids[child]:
+            if inner[child]:
                 ways.append((before, child, pending))
             token = token_of[child]
             if token >= 0 and self.may_follow(before, token):
@@ -273,18 +284,18 @@ def decode_ids(packed: bytes, spelling: Spelling, step: int = 1 << 15) -> str:
     return "".join([*out, stream.close()])
 
 
-#: A worker's machines by broadcast; tasks that run in one worker share them.
-MACHINES: dict = {}
+#: What a worker has made of the broadcast ranks; tasks that run in one worker share it.
+MADE: dict = {}
 
 
-def machine(held, pattern: str) -> tuple[Words, Splitter, Spelling]:
-    key = (hash(tuple(held.value.items())), pattern)
-    if key not in MACHINES:
-        MACHINES.clear()
-        gc.set_threshold(200_000, 50, 50)  # the machine is many small objects that stay
-        made = Transducer(held.value)
-        MACHINES[key] = Words(made), Splitter(pattern), Spelling(made.bytes_of)
-    return MACHINES[key]
+def made(kind: str, ranks: dict[bytes, int], pattern: str):
+    """The encoder's words and splitter, or the decoder's spelling; those of other ranks are forgotten."""
+    key = kind, pattern, hash(tuple(ranks.items()))
+    if key not in MADE:
+        MADE.clear()
+        gc.set_threshold(200_000, 50, 50)  # a machine is many small objects that stay
+        MADE[key] = Spelling(spelled(ranks)) if kind == "decoder" else (Words(Transducer(ranks)), Splitter(pattern))
+    return MADE[key]
 
 
 class Tokenizer:
@@ -300,13 +311,13 @@ class Tokenizer:
 
         @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            words, splitter, _ = machine(ranks, pattern)
+            words, splitter = made("encoder", ranks.value, pattern)
             for texts in batches:
                 yield pd.Series([encode_text(t, splitter, words) if t else b"" for t in texts], dtype="object")
 
         @F.pandas_udf("string")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            spelling = machine(ranks, pattern)[2]
+            spelling = made("decoder", ranks.value, pattern)
             for ids in batches:
                 yield pd.Series([decode_ids(x, spelling) if x else "" for x in ids], dtype="object")
 
@@ -332,6 +343,8 @@ def encoded(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Counts and digests of the ids and of the text decoded from them; null text counts as empty."""
-    tokenizer = tokenizer or default_tokenizer(spark)
+    tokenizer, scratch = tokenizer or default_tokenizer(spark), Scratch(spark)
     rows = encoded(docs.select("doc_id", "text"), tokenizer).withColumn("decoded", tokenizer.decode(F.col("ids")))
-    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    with scratch.small_batches():
+        return scratch.stored(rows, "tokens")
