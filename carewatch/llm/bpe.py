@@ -290,12 +290,14 @@ MADE: dict = {}
 
 def made(kind: str, ranks: dict[bytes, int], pattern: str):
     """The encoder's words and splitter, or the decoder's spelling; those of other ranks are forgotten."""
-    key = kind, pattern, hash(tuple(ranks.items()))
-    if key not in MADE:
+    of = pattern, hash(tuple(ranks.items()))
+    if MADE.get("of") != of:
         MADE.clear()
+        MADE["of"] = of
         gc.set_threshold(200_000, 50, 50)  # a machine is many small objects that stay
-        MADE[key] = Spelling(spelled(ranks)) if kind == "decoder" else (Words(Transducer(ranks)), Splitter(pattern))
-    return MADE[key]
+    if kind not in MADE:
+        MADE[kind] = Spelling(spelled(ranks)) if kind == "decoder" else (Words(Transducer(ranks)), Splitter(pattern))
+    return MADE[kind]
 
 
 class Tokenizer:
@@ -321,7 +323,14 @@ class Tokenizer:
             for ids in batches:
                 yield pd.Series([decode_ids(x, spelling) if x else "" for x in ids], dtype="object")
 
-        self._encode, self._decode = encode, decode
+        @F.pandas_udf("ids binary, text string")
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            (words, splitter), spelling = made("encoder", ranks.value, pattern), made("decoder", ranks.value, pattern)
+            for texts in batches:
+                ids = [encode_text(t, splitter, words) if t else b"" for t in texts]
+                yield pd.DataFrame({"ids": ids, "text": [decode_ids(x, spelling) if x else "" for x in ids]}, dtype="object")
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: Column) -> Column:
         return self._encode(text)
@@ -329,6 +338,10 @@ class Tokenizer:
     def decode(self, ids: Column) -> Column:
         return self._decode(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids, text>: the ids, and the text decoded from them in the same worker."""
+        return self._both(text)
+
 
 def default_tokenizer(spark: SparkSession) -> Tokenizer:
     import public_tokenizers
@@ -344,7 +357,8 @@ def encoded(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 def op6_bpe(spark: SparkSession, docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Counts and digests of the ids and of the text decoded from them; null text counts as empty."""
     tokenizer, scratch = tokenizer or default_tokenizer(spark), Scratch(spark)
-    rows = encoded(docs.select("doc_id", "text"), tokenizer).withColumn("decoded", tokenizer.decode(F.col("ids")))
-    rows = rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = docs.select("doc_id", tokenizer.round_trip(F.col("text")).alias("b"))
+    count = (F.octet_length("b.ids") / 4).cast("long").alias("n_tokens")
+    rows = rows.select("doc_id", count, F.sha2("b.ids", 256).alias("ids_sha256"), F.sha2("b.text", 256).alias("decoded_sha256"))
     with scratch.small_batches():
         return scratch.stored(rows, "tokens")

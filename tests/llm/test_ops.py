@@ -298,6 +298,9 @@ def test_bpe_equals_tiktoken(spark, docs, data):
     ranks = bpe.load_ranks(p.path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.op6_bpe(spark, docs).collect()}
+    tokenizer = bpe.default_tokenizer(spark)
+    apart = bpe.encoded(docs.select("doc_id", "text"), tokenizer).withColumn("back", tokenizer.decode(F.col("ids")))
+    assert apart.where("back <> coalesce(text, '')").count() == 0 and {r.doc_id: r.n_tokens for r in apart.collect()} == {k: v[0] for k, v in got.items()}
     for k, t in data.items():
         ids = enc.encode_ordinary(t or "")
         assert got[k] == (len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
