@@ -18,6 +18,8 @@ from .quality import held_out
 FIT_ROWS, LANGUAGES = 1500, 500
 #: Dimensions of the hashed grams, grams of 1 to GRAMS bytes, bytes counted at a time.
 DIM, GRAMS, STEP = 2048, 3, 1 << 20
+#: Steps of each fit; every step is a Spark job over the sample.
+STEPS = 20
 #: Families of language codes; a code that isn't here is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "is"), "romance": ("fr", "es", "pt", "it", "ro", "ca", "gl"),
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, may_learn=None, fit_rows: int = FIT_ROWS) -> Model:
     families = sorted({family_of(x) for x in langs})
     number = lambda names, of: F.coalesce(*(F.when(F.col("lang") == x, float(names.index(of(x)))) for x in langs))
     if len(families) > 1:
-        got = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=50).fit(sample.withColumn("label", number(families, family_of)))
+        got = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=STEPS).fit(sample.withColumn("label", number(families, family_of)))
         family = (families, got.coefficientMatrix.toArray(), got.interceptVector.toArray())
     else:
         family = (families, np.zeros((len(families), DIM)), np.zeros(len(families)))
@@ -113,7 +115,7 @@ def fit(docs: DataFrame, may_learn=None, fit_rows: int = FIT_ROWS) -> Model:
     for a, b in combinations(langs, 2):
         if family_of(a) == family_of(b):
             rows = sample.where(F.col("lang").isin(a, b)).withColumn("label", (F.col("lang") == b).cast("double"))
-            got = LinearSVC(regParam=1e-4, maxIter=50).fit(rows)
+            got = LinearSVC(regParam=1e-4, maxIter=STEPS).fit(rows)
             pairs[a, b] = (got.coefficients.toArray(), float(got.intercept))
     sample.unpersist()
     return Model(langs, family, pairs)
