@@ -63,8 +63,9 @@ def context(text: Column, start: Column, end: Column, window: int = 120) -> Colu
 
 def sentence(text: Column, start: Column, end: Column, compat: bool = False) -> Column:
     """The sentence around a hit, up to its closing sign. compat keeps the sign that closed the one before."""
-    head = F.regexp_extract(F.substring(text, F.lit(1), start), r"(?s)([.!?\n]?[^.!?\n]*)$", 1)
-    head = head if compat else F.regexp_replace(head, r"^[.!?\n]", "")
+    front = F.substring(text, F.lit(1), start)
+    head = F.regexp_replace(front, r"(?s)^.*[.!?\n]", "")  # greedy: found from the end
+    head = F.concat(F.regexp_extract(front, r"(?s)^.*([.!?\n])", 1), head) if compat else head
     tail = F.regexp_extract(F.substr(text, end + 1), r"(?s)^([^.!?\n]*[.!?\n]?)", 1)
     return trimmed(F.concat(head, F.substring(text, start + 1, end - start), tail))
 

@@ -104,9 +104,11 @@ def text_stats(text: Column) -> Column:
 
 
 def pattern_flags(text: Column, flags: dict[str, list[str]] = FLAGS) -> Column:
-    """struct of booleans; negation doesn't matter to them."""
+    """struct of booleans; negation doesn't matter to them. A text with none of them is read once."""
     text = F.coalesce(text, F.lit(""))
-    return F.struct(*(text.rlike("(?isU)" + "|".join(f"(?:{p})" for p in patterns)).alias(n) for n, patterns in flags.items()))
+    pattern = lambda some: "(?isU)" + "|".join(f"(?:{p})" for p in some)
+    any_flag = text.rlike(pattern(p for patterns in flags.values() for p in patterns))
+    return F.struct(*((any_flag & text.rlike(pattern(patterns))).alias(n) for n, patterns in flags.items()))
 
 
 def severity_patterns(text: Column, patterns: dict = SEVERITY_PATTERNS) -> Column:
