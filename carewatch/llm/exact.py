@@ -43,34 +43,28 @@ def chunks_of(docs: DataFrame, chunk: int) -> DataFrame:
     """One row per chunk of each normalised text: uid, doc_id, n_chars, n_bytes, idx, chunk; the digest with chunk 0."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
+    names = ["uid", "doc_id", "n_chars", "n_bytes", "idx", "sha", "chunk"]
+
     def cut(batches):
+        rows, size = [], 0
         for pdf in batches:
             for uid, doc_id, n_chars, text in zip(pdf["uid"], pdf["doc_id"], pdf["n_chars"], pdf["text"]):
                 data = text.encode().translate(None, BLANKS)
                 sha = hashlib.sha256(data).hexdigest()
-                starts = range(0, max(len(data), 1), chunk)
-                for at in range(0, len(starts), 64):  # a few chunks at a time
-                    part = starts[at : at + 64]
-                    yield pd.DataFrame({
-                        "uid": uid, "doc_id": pd.Series([doc_id] * len(part), dtype="object"), "n_chars": n_chars, "n_bytes": len(data),
-                        "idx": [i // chunk for i in part], "sha": [sha if i == 0 else None for i in part], "chunk": [data[i : i + chunk] for i in part],
-                    })
-
-    def grouped(batches):
-        """Small frames joined into batches of a few MB."""
-        held, size = [], 0
-        for pdf in cut(batches):
-            held.append(pdf)
-            size += int(pdf["n_bytes"].iat[0]) + 200
-            if size > 4 << 20:
-                yield pd.concat(held, ignore_index=True)
-                held, size = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+                for at in range(0, max(len(data), 1), chunk):
+                    part = data[at : at + chunk]
+                    rows.append((uid, doc_id, n_chars, len(data), at // chunk, None if at else sha, part))
+                    size += len(part) + 100
+                    if size > 4 << 20:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.mapInPandas(grouped, f"uid long, doc_id {id_type}, n_chars long, n_bytes long, idx long, sha string, chunk binary")
+    out = rows.mapInPandas(cut, "uid long, doc_id string, n_chars long, n_bytes long, idx long, sha string, chunk binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))  # pandas would make floats of ids beside nulls
 
 
 def fingerprints(chunks: DataFrame, chunk: int, fields=FIELDS) -> DataFrame:
