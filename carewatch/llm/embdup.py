@@ -137,20 +137,20 @@ def near_links(vectors: DataFrame, cosine: float = 0.9, seed: int = SEED) -> Dat
             for _, part in pdf.groupby(pdf["vector"].map(len)):
                 h = keys(unit(part))
                 for t in range(tables):
-                    yield pd.DataFrame({"key": h[:, t], "node": part["node"].values, "size": part["size"].values, "vector": part["vector"].values})
+                    yield pd.DataFrame({"key": h[:, t], "node": part["node"].values})
 
-    routed = vectors.mapInPandas(route, "key long, node long, size long, vector binary")
     scratch = Scratch(spark)
-    routed = scratch.stored(routed.repartition("key"), "routed")
+    routed = scratch.stored(vectors.mapInPandas(route, "key long, node long"), "routed")  # vectors follow once groups are known
     sizes = routed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).otherwise(0)
     placed = routed.join(sizes.drop("n"), "key").withColumn("block", block)
     # block i meets block j <= i: member of block i goes to (i, j) for j <= i and to (k, i) for k > i
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    placed = placed.select("key", "node", "size", "vector", "block", other.alias("other"))
+    placed = placed.select("key", "node", "block", other.alias("other"))
     placed = placed.withColumn("i", F.greatest("block", "other")).withColumn("j", F.least("block", "other"))
     group = F.xxhash64("key", "i", "j")
+    placed = placed.select("key", "i", "j", "block", "node").join(vectors, "node")
     dealt = placed.select("key", "i", "j", "block", "node", "size", "vector").repartition(group).sortWithinPartitions("key", "i", "j")
 
     def compare(batches):
