@@ -9,7 +9,7 @@ from .common import WORD, Scratch, fresh
 
 #: Words of a block.
 BLOCK = 32
-#: Words of a shard, about: documents of one source in one shard are ordered by one task.
+#: Words of a shard of a source, about: its documents are ordered by one task.
 SHARD = 1 << 22
 
 
@@ -66,12 +66,13 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
 
     Size is the number of words (null text: 0). Blocks of `block` words are apportioned to
     sources by their targets, then each source's blocks to its shards by their sizes, both
-    by highest quotients. Shards are dealt by a seeded digest of doc_id and text, and their
-    number grows with the words, so a large source is spread over many tasks. Within a
-    shard a source's documents stand in seeded order as one ring of words: whole rounds are
-    taken of everything, the blocks left over are consecutive from a seeded block. So a
-    document is taken `most` times at the most, sources come within about a block for each
-    shard of their targets, and reruns agree. Null sources are one source, ordered last;
+    by highest quotients. Shards are dealt by a seeded digest of doc_id and text. A source
+    has one for each `shard` of its own words, so a large one is spread over many tasks and
+    a small one isn't cut up. Words of a quota above `most` times its shard go to the
+    source's other shards. Within a shard documents stand in seeded order as one ring of
+    words: whole rounds are taken of everything, what is left over is consecutive from a
+    seeded block. So a document is taken `most` times at the most, sources come within
+    about a block of their targets however many shards there are, and reruns agree. Null sources are one source, ordered last;
     null doc_ids are placed by their text; repeated rows stand next to each other. Empty
     documents and sources of size 0 get 0. An empty table gives an empty result.
     """
@@ -81,18 +82,23 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     rows = scratch.stored(row.select("doc_id", "source", "size", digest.alias("place")), "sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, share, most)
     sources = sources.withColumn("_all", F.lit(1))
-    words, wanted = sources.agg(F.sum("source_size"), F.sum("target")).first()
-    words, wanted = words or 0, wanted or 0.0
-    shards = max(1, -(-words // shard))
-    blocks = int(wanted / block + 0.5)
+    blocks = int((sources.agg(F.sum("target")).first()[0] or 0.0) / block + 0.5)
+    sources = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard)).cast("long"))
     sources = apportion(sources.withColumn("_seats", F.lit(blocks).cast("long")), ["_all"], "source", "target", "_seats").drop("_all", "_seats", "weight")
     sources = scratch.stored(sources.withColumnRenamed("quota", "blocks"), "quotas")
     number = F.conv(F.substring("place", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("shard", number % shards)
+    many = F.broadcast(sources.where("shards > 1").select("source", "shards"))  # no more rows than shards
+    rows = rows.alias("r").join(many.alias("m"), F.expr("r.source <=> m.source"), "left").select("r.*", (number % F.coalesce("m.shards", F.lit(1))).alias("shard"))
     cells = rows.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
     cells = cells.alias("c").join(sources.alias("s"), F.expr("c.source <=> s.source")).select("c.*", "s.source_size", "s.target", "s.blocks")
     cells = apportion(cells, ["source"], "shard", "cell_size", "blocks")
-    taken = F.least(F.col("quota") * block, (most * F.col("cell_size")).cast("long"))
+    room = (most * F.col("cell_size")).cast("long")
+    cells = cells.withColumn("_taken", F.least(F.col("quota") * block, room)).withColumn("_room", room - F.col("_taken"))
+    same = Window.partitionBy("source")
+    lacking = F.least(F.col("blocks") * block, F.sum(room).over(same)) - F.sum("_taken").over(same)
+    earlier = F.sum("_room").over(same.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_room")
+    cells = cells.withColumn("_more", F.greatest(F.lit(0), F.least("_room", lacking - earlier)))
+    taken = F.col("_taken") + F.col("_more")
     cells = cells.withColumn("rounds", F.when(F.col("cell_size") > 0, F.floor(taken / F.col("cell_size"))).otherwise(0).cast("long"))
     cells = cells.withColumn("rest", taken - F.col("rounds") * F.col("cell_size"))
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("start"), F.coalesce("source", F.lit("")), "shard")), 1, 8), 16, 10).cast("long")

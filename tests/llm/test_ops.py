@@ -362,6 +362,16 @@ def test_mix(docs, data, empty):
     assert whole.columns == docs.columns
 
 
+def test_mix_small_source_beside_a_large_one(spark):
+    """Sources come within a block of their targets, into however many shards the words of the table make."""
+    rows = [(k, " ".join(["ab"] * 5), "en", "a small one", 0) for k in range(300)]
+    rows += [(1000 + k, " ".join(["cd"] * 100), "en", "b large one", 0) for k in range(600)]
+    rows += [(5000 + k, " ".join(["ef"] * 7), "en", None, 0) for k in range(50)]
+    for shard in (100, 500, 10**6):
+        got = mixing.mix(spark.createDataFrame(rows, DOCS), shard=shard).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert {r.source: r.target for r in got}["a small one"] == 3000 and all(abs(r.taken - r.target) <= mixing.BLOCK for r in got), (shard, got)
+
+
 def test_apportion_is_sainte_lague(spark):
     rng = random.Random(6)
     rows = [(g, k, rng.choice([rng.random() * 100, 3.0, 0.0])) for g in range(6) for k in range(rng.randint(1, 30))]
