@@ -54,6 +54,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.sub(name))
         return self.spark.read.schema(df.schema).parquet(self.sub(name))
 
+    def numbered(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """Write df with a number of its own for each row and return it reread, with the column's name."""
+        row = fresh(df, "_row")
+        return self.stored(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
     def in_place(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table bucketed by the task that wrote a row (column part) and return it.
 

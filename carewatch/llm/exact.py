@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -39,21 +39,24 @@ def combine(left: int, right: int, right_len: int, modulus: int, base: int) -> i
     return (left * pow(base, right_len, modulus) + right) % modulus
 
 
-def chunks_of(docs: DataFrame, chunk: int) -> DataFrame:
-    """One row per chunk of each normalised text: uid, doc_id, n_chars, n_bytes, idx, chunk; the digest with chunk 0."""
+def chunks_of(docs: DataFrame, chunk: int, row: str | None = None) -> DataFrame:
+    """One row per chunk of each normalised text: uid, row, doc_id, n_chars, n_bytes, idx, chunk; the digest with chunk 0.
+
+    row is the column of that name (-1 without one).
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    names = ["uid", "doc_id", "n_chars", "n_bytes", "idx", "sha", "chunk"]
+    names = ["uid", "row", "doc_id", "n_chars", "n_bytes", "idx", "sha", "chunk"]
 
     def cut(batches):
         rows, size = [], 0
         for pdf in batches:
-            for uid, doc_id, n_chars, text in zip(pdf["uid"], pdf["doc_id"], pdf["n_chars"], pdf["text"]):
+            for uid, number, doc_id, n_chars, text in zip(pdf["uid"], pdf["row"], pdf["doc_id"], pdf["n_chars"], pdf["text"]):
                 data = text.encode().translate(None, BLANKS)
                 sha = hashlib.sha256(data).hexdigest()
                 for at in range(0, max(len(data), 1), chunk):
                     part = data[at : at + chunk]
-                    rows.append((uid, doc_id, n_chars, len(data), at // chunk, None if at else sha, part))
+                    rows.append((uid, number, doc_id, n_chars, len(data), at // chunk, None if at else sha, part))
                     size += len(part) + 100
                     if size > 4 << 20:
                         yield pd.DataFrame(rows, columns=names)
@@ -61,9 +64,10 @@ def chunks_of(docs: DataFrame, chunk: int) -> DataFrame:
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    uid = F.monotonically_increasing_id()
+    rows = docs.select(uid.alias("uid"), (F.col(row) if row else F.lit(-1).cast("long")).alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    out = rows.mapInPandas(cut, "uid long, doc_id string, n_chars long, n_bytes long, idx long, sha string, chunk binary")
+    out = rows.mapInPandas(cut, "uid long, row long, doc_id string, n_chars long, n_bytes long, idx long, sha string, chunk binary")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))  # pandas would make floats of ids beside nulls
 
 
@@ -79,7 +83,7 @@ def fingerprints(chunks: DataFrame, chunk: int, fields=FIELDS) -> DataFrame:
     after = F.greatest(F.lit(0), F.col("n_bytes") - (F.col("idx") + 1) * chunk)
     rows = chunks.withColumn("t", terms("chunk", after))
     return rows.groupBy("uid").agg(
-        *(F.first(c, ignorenulls=True).alias(c) for c in ("doc_id", "n_chars", "n_bytes", "sha")),
+        *(F.first(c, ignorenulls=True).alias(c) for c in ("row", "doc_id", "n_chars", "n_bytes", "sha")),
         *((F.sum(f"t.term{k}") % m).alias(f"f{k}") for k, (m, _) in enumerate(fields)),
     )
 
@@ -95,8 +99,21 @@ def classes(docs: DataFrame, chunk: int = CHUNK, fields=FIELDS) -> DataFrame:
     is kept. Empty texts are equal to each other. Other columns are ignored; an empty table
     gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession)
-    parts = scratch.in_place(chunks_of(docs, chunk), "chunks")
+    rows, order = members_of(docs, Scratch(docs.sparkSession), chunk, fields), precedence()
+    best = rows.groupBy("class").agg(F.min_by(F.struct("uid", "doc_id"), order).alias("best"), F.count("*").alias("group_size"))
+    return rows.join(best, "class").select(
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256")
+    )
+
+
+def precedence() -> Column:
+    """The row of a class that stays is the smallest in this order."""
+    return F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "uid")
+
+
+def members_of(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, fields=FIELDS, row: str | None = None) -> DataFrame:
+    """One row per row of docs: uid, row, doc_id, n_chars, sha, class (see classes); row is the column of that name."""
+    parts = scratch.in_place(chunks_of(docs, chunk, row), "chunks")
     home = F.shiftright("uid", 33).cast("int").alias("part")  # the task that numbered a row wrote it
     prints = scratch.stored(fingerprints(parts, chunk, fields), "prints")
     key = ["n_bytes", "f0", "f1"]
@@ -117,22 +134,22 @@ def classes(docs: DataFrame, chunk: int = CHUNK, fields=FIELDS) -> DataFrame:
         open_ = prints.join(odd, "uid", "left_semi").select("uid", *key)
     scratch.drop_table("chunks")
     rows = prints.join(assigned.withColumnRenamed("rep", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
-    rows = rows.select("uid", "doc_id", "n_chars", "sha", "class")
-    order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "uid")
-    best = rows.groupBy("class").agg(F.min_by(F.struct("uid", "doc_id"), order).alias("best"), F.count("*").alias("group_size"))
-    return rows.join(best, "class").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.uid")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    return rows.select("uid", "row", "doc_id", "n_chars", "sha", "class")
 
 
 def exact_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """docs with one row of each class of equal texts (see classes); columns are those of docs.
 
-    doc_id names a document: of rows that repeat it one stays. Rows with a null doc_id stay.
+    Exactly the row that is chosen stays, whatever its doc_id: rows of one doc_id with
+    different texts are different documents. Where the chosen row has a doc_id, one row
+    without any stays beside it if the class has some.
     """
-    keep = classes(docs, chunk).where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession)
+    docs, row = scratch.numbered(docs, "rows")
+    order = precedence()
+    best = members_of(docs, scratch, chunk, row=row).groupBy("class").agg(F.min_by("row", order).alias("best"), F.min_by("row", F.when(F.col("doc_id").isNull(), order)).alias("unnamed"))
+    keep = best.select(F.explode(F.array_distinct(F.array("best", F.coalesce("unnamed", "best")))).alias(row))
+    return docs.join(keep, row, "left_semi").drop(row)
 
 
 OP4_SQL = """

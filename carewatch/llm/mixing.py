@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, fresh
@@ -76,10 +76,15 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     null doc_ids are placed by their text; repeated rows stand next to each other. Empty
     documents and sources of size 0 get 0. An empty table gives an empty result.
     """
+    return taken_of(docs, weights, share, most, seed, block, shard)
+
+
+def taken_of(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, block: int = BLOCK, shard: int = SHARD, **more: Column) -> DataFrame:
+    """mix with further columns, by name expressions of doc_id and text."""
     scratch = Scratch(docs.sparkSession)
     row = sized(docs)
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5("text")))))
-    rows = scratch.stored(row.select("doc_id", "source", "size", digest.alias("place")), "sizes")
+    rows = scratch.stored(row.select("doc_id", "source", "size", digest.alias("place"), *(c.alias(n) for n, c in more.items())), "sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, share, most)
     sources = sources.withColumn("_all", F.lit(1))
     blocks = int((sources.agg(F.sum("target")).first()[0] or 0.0) / block + 0.5)
@@ -104,25 +109,25 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("start"), F.coalesce("source", F.lit("")), "shard")), 1, 8), 16, 10).cast("long")
     cells = cells.withColumn("start", F.when(F.col("cell_size") > 0, start % F.ceil(F.col("cell_size") / block) * block).otherwise(0))
     cells = scratch.stored(cells, "cells")
-    ring = Window.partitionBy("source", "shard").orderBy("place", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ring = Window.partitionBy("source", "shard").orderBy("place", "size", "doc_id", *more).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum("size").over(ring)).withColumn("begin", F.col("end") - F.col("size"))
     got = rows.alias("r").join(cells.alias("c"), F.expr("r.source <=> c.source and r.shard = c.shard"))
     got = got.select("r.*", "c.source_size", "c.target", "c.cell_size", "c.rounds", "c.rest", "c.start")
     cut = lambda a, b: F.greatest(F.lit(0), F.least("end", b) - F.greatest("begin", a))
     stop, ring_size = F.col("start") + F.col("rest"), F.col("cell_size")
     part = cut(F.col("start"), F.least(stop, ring_size)) + cut(F.lit(0), stop - ring_size)
-    return got.select("doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"))
+    return got.select("doc_id", *more, "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as often as the mix takes them, rounded up to whole documents; columns are those of docs.
 
     A document of which the mix takes words appears ceil(taken / size) times, others
-    (empty ones too) don't. doc_id names a document.
+    (empty ones too) don't. doc_id, source and text name a document.
     """
-    got = mix(docs, **options).where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_n"))
-    got = got.groupBy("doc_id").agg(F.max("_n").alias("_n"))
-    out = docs.alias("d").join(got.alias("g"), F.expr("d.doc_id <=> g.doc_id"))
+    got = taken_of(docs, **options, digest=F.md5("text")).where("taken > 0").select("doc_id", "source", "digest", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_n"))
+    got = got.groupBy("doc_id", "source", "digest").agg(F.max("_n").alias("_n"))
+    out = docs.alias("d").join(got.alias("g"), F.expr("d.doc_id <=> g.doc_id and d.source <=> g.source and md5(coalesce(d.text, '')) = g.digest"))
     copy = fresh(docs, "_copy")
     return out.select("d.*", F.explode(F.sequence(F.lit(1), F.col("g._n"))).alias(copy)).drop(copy)
 

@@ -92,27 +92,34 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, long_list: i
     when it has no other id (then null). Repeated rows come back as often as they came.
     Other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession)
-    prints = scratch.stored(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "prints")
+    return grouped(docs, Scratch(docs.sparkSession), words, max_bits, long_list).select("doc_id", "fp", "component_id")
+
+
+def grouped(docs: DataFrame, scratch: Scratch, words: int, max_bits: int, long_list: int = LONG_LIST, *more: str) -> DataFrame:
+    """near_groups with component (its smallest fingerprint) and the columns `more` of docs."""
+    prints = scratch.stored(docs.select("doc_id", *more, fingerprint(F.col("text"), words).alias("fp")), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(nodes.select("fp"), max_bits, long_list), scratch)
     nodes = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     nodes = scratch.stored(nodes, "nodes")
     named = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = nodes.join(named, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(named, "component").select("fp", "component", "component_id")
+    return prints.join(named, "fp").select("doc_id", *more, "fp", "component", "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """docs without the near copies: of each component the document with the smallest doc_id stays.
 
-    doc_id names a document: of rows that repeat it one stays. Rows with a null doc_id
-    can't be named as copies of anything and stay. Columns are those of docs.
+    Exactly one row of each component stays, whatever its doc_id: rows of one doc_id in
+    different components are different documents, rows with a null doc_id come last.
+    Columns are those of docs.
     """
-    groups = near_groups(docs, words, max_bits)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    scratch = Scratch(docs.sparkSession)
+    docs, row = scratch.numbered(docs, "rows")
+    groups = grouped(docs, scratch, words, max_bits, LONG_LIST, row)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    keep = groups.groupBy("component").agg(F.min_by(row, order).alias(row)).select(row)
+    return docs.join(keep, row, "left_semi").drop(row)
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:

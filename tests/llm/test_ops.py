@@ -215,6 +215,26 @@ def test_exact_edges(spark, docs, empty):
     assert [r.doc_id for r in exact.exact_dedup(rows).orderBy("doc_id").collect()] == [None, 0]
 
 
+def test_dedup_keeps_the_chosen_rows(spark):
+    """A doc_id on different texts names different documents; rows without one are deduplicated too."""
+    a, b, c = ("one two three four", "five six seven eight", "nine ten eleven twelve")
+    rows = [(1, a), (1, b), (2, b + " "), (None, c), (None, c), (None, c), (3, a + "  "), (4, None), (4, None)]
+    frame = spark.createDataFrame([(k, t, "l", "s", 1) for k, t in rows], DOCS).repartition(3)
+    shown = lambda df: sorted((repr(r.doc_id), r.text) for r in df.collect())
+    assert shown(exact.exact_dedup(frame.where("text is not null"))) == [("2", b + " "), ("3", a + "  "), ("None", c)]
+    assert shown(simhash.near_dedup(frame.where("text is not null"))) == [("1", b), ("1", a), ("None", c)]
+    assert exact.exact_dedup(frame).where("doc_id = 4").count() == simhash.near_dedup(frame).where("doc_id = 4").count() == 1
+
+
+def test_mixed_documents_by_row(spark):
+    """Documents that share a doc_id, or have none, appear as often as the mix takes each of them."""
+    for k in (7, None):
+        frame = spark.createDataFrame([(k, f"{n} " * 50, "l", f"s{n % 2}", 1) for n in range(40)], DOCS)
+        want = mixing.mix(frame).select(F.sum(F.ceil(F.col("taken") / F.col("size")))).first()[0]
+        got = mixing.mixed_documents(frame).groupBy("text").count().collect()
+        assert sum(r["count"] for r in got) == want and len({r["count"] for r in got}) > 1
+
+
 def test_hashes_compose():
     for m, b in exact.FIELDS:
         table = exact.powers(64, m, b)
