@@ -111,16 +111,20 @@ def exploded(docs: DataFrame, keys: list[str], found: str = "detections") -> Dat
     return rows.select(*keys, *((F.left(f"d.{n}", F.lit(cut[n])) if n in cut else F.col(f"d.{n}")).alias(n) for n in ("term", "category", "weight", "start", "end", "negated", "context", "sentence")))
 
 
-def match_by_join(docs: DataFrame, key: str, lexicon: DataFrame, longest: int = 4) -> DataFrame:
+def match_by_join(docs: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """(key, position, term, category, weight) for lexicons too large for a pattern: lower-cased word n-grams meet terms in an equi-join.
 
     Positions count words. Terms are matched by their words, so separators don't matter.
+    The n are the numbers of words that terms of the lexicon have; a term without a word
+    matches nothing.
     """
+    parts = F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\w+"), F.lit(0))
+    terms = lexicon.withColumn("gram", F.array_join(parts, " ")).where(F.size(parts) > 0)
+    lengths = sorted(r["n"] for r in terms.select(F.size(parts).alias("n")).distinct().collect()) or [1]
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
     at = F.explode(F.sequence(F.lit(1), F.size("words")))
     rows = docs.select(F.col(key), words.alias("words")).where("size(words) > 0").select(key, "words", at.alias("position"))
-    grams = rows.select(key, "position", F.explode(F.array(*(F.when(F.col("position") + n - 1 <= F.size("words"), F.array_join(F.slice("words", F.col("position"), n), " ")) for n in range(1, longest + 1)))).alias("gram")).where("gram is not null")
-    terms = lexicon.withColumn("gram", F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\w+"), F.lit(0)), " "))
+    grams = rows.select(key, "position", F.explode(F.array(*(F.when(F.col("position") + n - 1 <= F.size("words"), F.array_join(F.slice("words", F.col("position"), n), " ")) for n in lengths))).alias("gram")).where("gram is not null")
     return grams.join(terms, "gram").select(key, "position", "term", "category", "weight")
 
 

@@ -127,6 +127,15 @@ def test_features(spark):
     assert f["score_medical_formal"] == 2.8 and f["count_negated"] == 1 and f["pattern_sexual_violence"] == 1 and f["text_sentence_count"] == 2 and f["text_word_count"] == 6
 
 
+def test_match_by_join_finds_terms_of_any_length(spark):
+    terms = ["faca", "arma de fogo", "ferimento por arma de fogo", "um dois três quatro cinco seis sete oito nove", "--"]
+    lexicon = spark.createDataFrame([("c", 0, 1.0, t) for t in terms], "category string, category_rank int, weight double, term string")
+    docs = spark.createDataFrame([(1, "Ferimento por arma de fogo, faca"), (2, "um-dois três quatro cinco seis sete oito nove -- dez"), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.position, r.term) for r in detect.match_by_join(docs, "doc_id", lexicon).collect()}
+    assert got == {(1, 1, terms[2]), (1, 3, terms[1]), (1, 6, terms[0]), (2, 1, terms[3])}
+    assert detect.match_by_join(docs, "doc_id", lexicon.limit(0)).count() == 0
+
+
 def test_detection_has_no_python(spark):
     rows = spark.createDataFrame([("x",)], "text string")
     plan = rules.analyze(rows)._jdf.queryExecution().executedPlan().toString()
