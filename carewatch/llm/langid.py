@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, fresh
 from .quality import held_out
 
-#: Most documents of a language that a model is fitted on, and most languages.
-FIT_ROWS, LANGUAGES = 1500, 500
+#: Most documents of a language that a model is fitted on.
+FIT_ROWS = 1500
+#: Vectors of the sample in a task, about.
+TASK_ROWS = 8192
 #: Dimensions of the hashed grams, grams of 1 to GRAMS bytes, bytes counted at a time.
 DIM, GRAMS, STEP = 2048, 3, 1 << 20
 #: Steps of each fit; every step is a Spark job over the sample.
@@ -89,25 +91,25 @@ def fit(docs: DataFrame, may_learn=None, fit_rows: int = FIT_ROWS) -> Model:
     scratch = Scratch(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known if may_learn is None else known.where(may_learn)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    langs = sorted(counts)
+    shares = known.groupBy("lang").agg((F.lit(fit_rows) / F.count("*")).alias("_share"))
     place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / (1 << 30)
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, min(1.0, fit_rows / counts[lang])).otherwise(share)
 
     @F.pandas_udf("array<double>")
     def vector(texts: pd.Series) -> pd.Series:
         return pd.Series([grams(t) for t in texts])
 
-    sample = known.where(place < share).where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", vector("text").alias("x"))
-    sample = scratch.stored(sample, "vectors").orderBy("doc_id", "lang", "x").coalesce(1)
-    sample = scratch.stored(sample, "sample").withColumn("features", array_to_vector("x")).drop("x").cache()
-    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    known = known.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang")
+    sample = known.where(place < F.col("_share")).where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", vector("text").alias("x"))
+    sample = scratch.stored(sample, "vectors")
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    langs, tasks = sorted(sizes), max(1, -(-sum(sizes.values()) // TASK_ROWS))
+    sample = scratch.stored(sample.repartition(tasks, "doc_id", "lang").sortWithinPartitions("doc_id", "lang", "x"), "sample")
     families = sorted({family_of(x) for x in langs})
-    number = lambda names, of: F.coalesce(*(F.when(F.col("lang") == x, float(names.index(of(x)))) for x in langs))
+    place_of = {f: float(k) for k, f in enumerate(families)}
+    numbers = docs.sparkSession.createDataFrame([(x, place_of[family_of(x)]) for x in langs], "lang string, family double")
+    sample = sample.join(F.broadcast(numbers), "lang").withColumn("features", array_to_vector("x")).drop("x").cache()
     if len(families) > 1:
-        got = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=STEPS).fit(sample.withColumn("label", number(families, family_of)))
+        got = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=STEPS).fit(sample.withColumnRenamed("family", "label"))
         family = (families, got.coefficientMatrix.toArray(), got.interceptVector.toArray())
     else:
         family = (families, np.zeros((len(families), DIM)), np.zeros(len(families)))
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, may_learn=None, fit_rows: int = FIT_ROWS) -> Model:
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced. Null text or one without a letter: und, 0."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # weights of the families and pairs: bounded by LANGUAGES and DIM
+    held = docs.sparkSession.sparkContext.broadcast(model)  # weights of the families and pairs: DIM for each family and pair
 
     @F.pandas_udf("lang string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:

@@ -448,6 +448,15 @@ def test_langid(spark):
     assert (out.lang_pred == out.lang).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_langid_learns_every_language(spark):
+    """Also those beyond the 500 most frequent."""
+    names = [f"x{k:03}" for k in range(503)]
+    words = dict(zip(names, (hashlib.md5(x.encode()).hexdigest() + " abc" for x in names)))
+    frame = spark.createDataFrame([(k, t, x, "s", 1) for k, (x, t) in enumerate(words.items())], DOCS)
+    model = langid.fit(frame)
+    assert model.langs == names and all(model.predict(words[x])[0] == x for x in names[-5:])
+
+
 def test_langid_edges(spark, docs, empty):
     model = langid.fit(docs)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predicted(docs, model).collect()}
