@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
@@ -15,8 +16,8 @@ from .common import Scratch, connected_components
 SEED = 42
 #: Shingles hashed at a time, so that a very long text needs little memory.
 STEP = 1 << 16
-#: A posting list above this length is linked through shared midpoints instead of pairs.
-LONG_LIST = 64
+#: Byte positions in the key of a posting, and members above which a list is taken apart by two more positions.
+CHOSEN, LONG_LIST = 4, 16
 
 
 def simhash(text: str | None, words: int = 3) -> int:
@@ -48,38 +49,71 @@ def fingerprint(text: Column, words: int = 3) -> Column:
     return hashed(text)
 
 
-def links(prints: DataFrame, max_bits: int = 2, long_list: int = LONG_LIST) -> DataFrame:
+def masks(positions: int) -> list[int]:
+    """The signed 64-bit masks of each choice of so many of the 8 bytes."""
+    all_ = (sum(0xFF << 8 * k for k in some) for some in combinations(range(8), positions))
+    return [m - (1 << 64) if m >> 63 else m for m in all_]
+
+
+def paired(lists: DataFrame, *keys: str) -> DataFrame:
+    """(a, b), a < b, of every two members of each short list, once for each list that they share."""
+    ordered = lists.groupBy(*keys).agg(F.sort_array(F.collect_list("fp")).alias("l"))
+    one = F.transform(F.slice("l", 1, F.size("l") - 1), lambda a, k: F.transform(F.slice("l", k + 2, F.size("l")), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    return ordered.select(F.explode(F.flatten(one)).alias("p")).select("p.a", "p.b")
+
+
+def linked_in_list(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
+    """Edges from each member of a list, whose members differ in two bytes alone, to the first of those it reaches over max_bits or fewer bits at a time.
+
+    A list has at most 65,536 members: a table of the two bytes' values shows for each
+    member which of its neighbours are there.
+    """
+    fp, mask = pdf["fp"].to_numpy(), int(pdf["mask"].iloc[0]) & (1 << 64) - 1
+    low, high = (k for k in range(8) if not mask >> 8 * k & 0xFF)
+    value = (fp >> 8 * low & 0xFF) | (fp >> 8 * high & 0xFF) << 8
+    place = np.full(1 << 16, -1)
+    place[value] = np.arange(len(fp))
+    flips = [1 << i for i in range(16)] + [1 << i | 1 << j for i, j in combinations(range(16), 2)] * (max_bits > 1)
+    label, before = np.arange(len(fp)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        for flip in flips:
+            other = place[value ^ flip]
+            label = np.minimum(label, np.where(other >= 0, label[other], label))
+        label = label[label]
+    far = label != np.arange(len(fp))
+    return pd.DataFrame({"a": fp[far], "b": fp[label[far]]})
+
+
+def links(prints: DataFrame, scratch: Scratch, max_bits: int = 2, long_list: int = LONG_LIST) -> DataFrame:
     """Edges (a, b) among distinct fingerprints(fp) whose components are those at max_bits or fewer.
 
-    Two fingerprints within two bits share at least 6 of their 8 positional bytes, so among
-    the 4 two-byte blocks at least 2 agree: the index lists fingerprints by pairs of blocks
-    (a list keyed by a single byte would hold one in 256 of all). Pairs that meet in a list
-    are tallied over all 8 positions, those with 6 or more matches are verified bit by bit.
-    Lists longer than long_list aren't paired: two fingerprints are within two bits exactly
-    if a fingerprint within one bit of both exists, so each member goes to its 65 midpoints
-    and is linked to the smallest member there. No midpoint has more than 65 members.
+    An inverted index by byte position and value. Two fingerprints within max_bits share at
+    least m = 8 - max_bits of their 8 positional bytes, hence at least C(m, 4) of the lists
+    keyed by four positions and their bytes (a list keyed by one byte would hold one in 256
+    of all). The lists that two fingerprints share are tallied; pairs that reach the
+    guaranteed minimum are verified bit by bit. A list above long_list is taken apart: its
+    members go to lists keyed by six positions, of which near ones share at least one.
+    There only two bytes vary, so such a list has at most 65,536 members whatever the
+    table; a long one gives each member's link to its first, never its pairs. A pair below
+    the minimum because of lists that were taken apart is found there, so none is lost.
     """
     if max_bits not in (1, 2):
         raise ValueError("max_bits must be 1 or 2")
     fp = F.col("fp")
-    block = [F.shiftrightunsigned(fp, 16 * k).bitwiseAND(0xFFFF) for k in range(4)]
-    keys = [F.lit(n << 32) + F.shiftleft(block[i], 16) + block[j] for n, (i, j) in enumerate(combinations(range(4), 2))]
-    posted = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sized = posted.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    short = sized.where(F.col("n") <= long_list).select("key", "fp")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.shiftrightunsigned(x, 8 * k).bitwiseAND(0xFF) == 0).cast("int") for k in range(8))
-    pairs = short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b"), "key").where("a < b")
-    pairs = pairs.where(shared >= 8 - max_bits).where(F.bit_count(x) <= max_bits).select("a", "b")
-    masks = [0, *(1 << k for k in range(63)), -(1 << 63)]
-    middle = sized.where(F.col("n") > long_list).select("fp").distinct()
-    middle = middle.select("fp", F.explode(F.array(*(fp.bitwiseXOR(F.lit(m)) for m in masks))).alias("key"))
-    near = middle.select("fp", F.min("fp").over(Window.partitionBy("key")).alias("b")).where("fp != b")
-    near = near.select(fp.alias("a"), "b").distinct()
-    if max_bits == 1:  # midpoints link up to two bits: keep what is one bit apart, from each member to all of its own flips
-        own = middle.select(fp.alias("a"), F.col("key").alias("b")).where("a != b")
-        near = own.join(middle.select(fp.alias("b")).distinct(), "b", "left_semi").select("a", "b")
-    return pairs.union(near)
+    mask = lambda n: F.explode(F.array(*map(F.lit, masks(n)))).alias("mask")
+    posted = prints.select("fp", mask(CHOSEN)).select("fp", F.xxhash64("mask", fp.bitwiseAND(F.col("mask"))).alias("key"))
+    sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    lists = scratch.stored(posted.join(sizes, "key"), "lists")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    tally = paired(lists.where(F.col("n") <= long_list), "key").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    found = tally.where(F.col("shared") >= comb(8 - max_bits, CHOSEN)).where(near).select("a", "b")
+    apart = lists.where(F.col("n") > long_list).select("fp").distinct().select("fp", mask(8 - 2)).select("fp", "mask", fp.bitwiseAND(F.col("mask")).alias("value"))
+    sizes = apart.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
+    finer = scratch.stored(apart.join(sizes, ["mask", "value"]), "finer")
+    short = paired(finer.where(F.col("n") <= long_list), "mask", "value").where(near).distinct()
+    long = finer.where(F.col("n") > long_list).select("mask", "value", "fp").groupBy("mask", "value").applyInPandas(lambda pdf: linked_in_list(pdf, max_bits), "a long, b long")
+    return found.union(short).union(long)
 
 
 def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, long_list: int = LONG_LIST) -> DataFrame:
@@ -90,7 +124,8 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, long_list: i
     copies are never paired. Null texts count as empty; empty texts have fingerprint zero
     and link like any other. Rows with a null doc_id take part, but only name a component
     when it has no other id (then null). Repeated rows come back as often as they came.
-    Other columns are ignored.
+    Very long texts are hashed whole, STEP shingles at a time. Other columns are ignored;
+    an empty table gives an empty result.
     """
     return grouped(docs, Scratch(docs.sparkSession), words, max_bits, long_list).select("doc_id", "fp", "component_id")
 
@@ -99,7 +134,7 @@ def grouped(docs: DataFrame, scratch: Scratch, words: int, max_bits: int, long_l
     """near_groups with component (its smallest fingerprint) and the columns `more` of docs."""
     prints = scratch.stored(docs.select("doc_id", *more, fingerprint(F.col("text"), words).alias("fp")), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = connected_components(links(nodes.select("fp"), max_bits, long_list), scratch)
+    found = connected_components(links(nodes.select("fp"), scratch, max_bits, long_list), scratch)
     nodes = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     nodes = scratch.stored(nodes, "nodes")
     named = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -123,5 +158,6 @@ def near_dedup(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
 
 
 def op3_simhash(docs: DataFrame) -> DataFrame:
+    """near_groups with the fingerprint as 16 lowercase hex digits."""
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return near_groups(docs).select("doc_id", shown, "component_id")

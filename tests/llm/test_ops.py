@@ -140,6 +140,73 @@ def test_quality_edges(spark, docs, empty):
     assert quality.scored(empty, quality.fit(empty, labels)).count() == 0
 
 
+def test_quality_without_rules(spark):
+    """A forest without any split gives the share of the class."""
+    some = spark.createDataFrame([(k, t, "l", "s", 1) for k, t in enumerate(["a b", None, "c", "a b c", "", "d", "e", "f"])], DOCS)
+    few = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    got = {r.score for r in quality.scored(some, quality.fit(some, few)).collect()}
+    assert len(got) == 1 and got.pop() == pytest.approx(2.5 / 4)
+    equal = spark.createDataFrame([(k, "the same text", "l", "s", 1) for k in range(39)], DOCS)
+    mixed = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(39)], "doc_id long, quality int")
+    got = [r.score for r in quality.scored(equal, quality.fit(equal, mixed)).collect()]
+    assert len(got) == 39 and len(set(got)) == 1 and got[0] == pytest.approx(13.5 / 40)
+
+
+def plain_statistics(text):
+    import regex
+
+    text = text or ""
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if x]
+    share = lambda a, b: a / b if b else 0.0
+    count = lambda p: len(regex.findall(p, text, regex.ASCII & 0))
+    n, w = len(text), len(words)
+    return [
+        np.log1p(n), share(n, w), share(len(set(words)), w), np.log1p(w), share(len(set(lines)), len(lines)), share(w, len(lines)), share(count(r"\p{Lu}"), n), share(count("[0-9]"), n),
+        share(count(r"[^\p{L}\p{N}\x20\x09-\x0D.,]+"), w), share(count(r"[^\p{L}\p{N}\x20\x09-\x0D.,;:'\"!?()-]"), n), share(count("[!?]"), n), share(count("[.]"), w), share(count(","), w),
+        share(count(r"\p{L}{13,}"), w), share(count("[|]"), w), share(sum(a == b for a, b in zip(words, words[1:])), w),
+    ]
+
+
+def test_quality_against_brute_force(spark):
+    """Statistics, paths of the trees and the compiled score, each against plain Python."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, " a a\na a\n\n|!? É,É. "), (-4, "w w w " * 9000)], docs.schema))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = docs.select("doc_id", "text", F.array(*(c.cast("double") for c in quality.statistics(F.col("text")).values())).alias("stats")).collect()
+    for r in rows:
+        assert r.stats == pytest.approx(plain_statistics(r.text)), r.doc_id
+    model = quality.fit(docs, labels)
+    assert model.rules
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    for r in rows:
+        total = model.bias + sum(w for w, rule in model.rules if all((r.stats[k] <= t) == low for k, low, t in rule))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_paths_are_those_of_the_printed_trees(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    rng = random.Random(5)
+    points = [(float(a > 0.4 or b > 0.7), [a, b, rng.random()]) for a, b in ((rng.random(), rng.random()) for _ in range(300))]
+    frame = spark.createDataFrame(points, "label double, x array<double>").coalesce(1).withColumn("features", array_to_vector("x"))
+    forest = RandomForestClassifier(numTrees=4, maxDepth=3, seed=1).fit(frame)
+    want = set()
+    for tree in forest.trees:
+        held = []
+        for line in tree.toDebugString.splitlines()[1:]:
+            depth = len(line) - len(line.lstrip())
+            held = [h for h in held if h[0] < depth]
+            if m := re.search(r"feature (\d+) (<=|>) ([-\d.E]+)", line):
+                held.append((depth, int(m[1]), m[2] == "<=", float(m[3])))
+                merged = {}
+                for _, k, low, t in held:
+                    old = merged.get((k, low))
+                    merged[k, low] = t if old is None else min(old, t) if low else max(old, t)
+                want.add(tuple(sorted((k, low, t) for (k, low), t in merged.items())))
+    assert want and quality.paths(forest) == want
+
+
 def test_rules_mean_what_they_say(spark):
     rows = spark.createDataFrame([([1.0, 5.0],), ([3.0, 5.0],)], "s array<double>")
     model = quality.RuleModel(["a", "b"], 0.5, [(2.0, ((0, True, 2.0), (1, False, 4.0))), (-1.0, ((0, False, 2.0),))])
@@ -176,7 +243,7 @@ def test_simhash_links_long_lists(spark, bits):
     base = [rng.getrandbits(64) for _ in range(5)]
     prints = set(base)
     for b in base:
-        for _ in range(120):
+        for _ in range(120 if b != base[0] else 500):
             f = b
             for _ in range(rng.randint(1, 4)):
                 f ^= 1 << rng.randrange(64)
@@ -184,8 +251,8 @@ def test_simhash_links_long_lists(spark, bits):
     signed = sorted(f - (1 << 64) if f >> 63 else f for f in prints)
     frame = spark.createDataFrame([(f,) for f in signed], "fp long")
     want = components(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= bits])
-    for long_list in (4, 10_000):
-        cc = connected_components(simhash.links(frame, bits, long_list), Scratch(spark))
+    for long_list in (4, simhash.LONG_LIST, 10_000):
+        cc = connected_components(simhash.links(frame, Scratch(spark), bits, long_list), Scratch(spark))
         got = {r.node: r.component for r in cc.collect()}
         assert {f: got.get(f, f) for f in signed} == want
 
@@ -448,6 +515,46 @@ def test_langid(spark):
     assert (out.lang_pred == out.lang).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def test_grams_against_a_loop():
+    for text in ("", "a", "Ab", "çé 漢字 abc", "the cat the cat"):
+        data, counts = text.lower().encode(), np.zeros(langid.DIM)
+        for at in range(len(data)):
+            h = 0
+            for n in range(1, langid.GRAMS + 1):
+                if at + n <= len(data):
+                    h = (h * 0x01000193 + data[at + n - 1] + n) % 2**32
+                    counts[(h * 0x9E3779B1) % 2**32 >> 21] += 1
+        want = np.sqrt(counts / max(counts.sum(), 1))
+        assert np.allclose(langid.grams(text), want)
+
+
+def test_langid_predicts_by_family_and_duels(spark):
+    """Two families of two and three languages: the family's probability first, then every duel within it, worked out anew."""
+    rng = random.Random(12)
+    letters = {"en": "abcde ", "de": "abcdf ", "nl": "abcdg ", "fr": "mnopq ", "es": "mnopr "}
+    make = lambda x: "".join(rng.choice(letters[x]) for _ in range(rng.randint(20, 80)))
+    rows = [(k, make(x), x, "s", 1) for k, x in enumerate(list(letters) * 40)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS))
+    assert model.family[0] == ["germanic", "romance"] and sorted(model.pairs) == [("de", "en"), ("de", "nl"), ("en", "nl"), ("es", "fr")]
+    right = 0
+    for _, text, lang, _, _ in rows[:100]:
+        x = langid.grams(text)
+        z = [float(w @ x + b) for w, b in zip(model.family[1], model.family[2])]
+        p = [np.exp(v - max(z)) / sum(np.exp(u - max(z)) for u in z) for v in z]
+        names = [n for n in sorted(letters) if langid.family_of(n) == model.family[0][int(np.argmax(p))]]
+        sure, won = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0)
+        for (a, b), (w, bias) in model.pairs.items():
+            if a in sure:
+                up = 1 / (1 + np.exp(-4 * float(w @ x + bias)))
+                sure[a], sure[b] = sure[a] + 1 - up, sure[b] + up
+                won[b if up >= 0.5 else a] += 1
+        best = max(names, key=lambda n: (won[n], sure[n]))
+        got = model.predict(text)
+        assert got[0] == best and got[1] == pytest.approx(max(p) * sure[best] / (len(names) - 1))
+        right += got[0] == lang
+    assert right > 90
+
+
 def test_langid_learns_every_language(spark):
     """Also those beyond the 500 most frequent."""
     names = [f"x{k:03}" for k in range(503)]
