@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: States and pairs, and pieces of text, that a worker remembers before it starts afresh; what it gives doesn't depend on them.
-MOST, PIECES = 150_000, 300_000
+#: States, pairs of tokens and pieces of text that a worker remembers before it starts afresh; what it gives doesn't depend on them.
+MOST, PAIRS, PIECES = 120_000, 200_000, 300_000
 #: Longest piece whose ids are remembered, in characters.
 WORD_CHARS = 48
 
@@ -36,19 +36,6 @@ def spelled(ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-class State(dict):
-    """byte -> (next state, ids written); a move is made when it is first asked for."""
-
-    __slots__ = ("machine", "ways")
-
-    def __init__(self, machine: Transducer, ways: tuple):
-        self.machine, self.ways = machine, ways
-
-    def __missing__(self, byte: int) -> tuple[State, tuple[int, ...]]:
-        got = self[byte] = self.machine.move(self, byte)
-        return got
-
-
 class Transducer:
     """Reads bytes, writes token ids.
 
@@ -58,7 +45,8 @@ class Transducer:
     one at most ends with a whole token. A state of the determined machine is the set of
     live ways: (token before, trie node, tokens not yet written). What all ways share is
     written at once; ways differ by less than the longest token, which bounds the lookahead.
-    States and moves are made when first needed.
+    States and moves are made when first needed: `sets` has each state's ways as packed
+    numbers, `moves` the next state by state and byte, `writes` what a move writes, if anything.
     """
 
     def __init__(self, ranks: dict[bytes, int], most: int = MOST):
@@ -83,8 +71,17 @@ class Transducer:
 
     def restart(self) -> None:
         """Forget all states but the start."""
-        self.start = State(self, ((-1, 0, ()),))
-        self.states = {self.start.ways: self.start}
+        start = array("i", (-1, 0, 0)).tobytes()
+        self.sets, self.states = [start], {start: 0}
+        self.moves: dict[int, int] = {}
+        self.writes: dict[int, tuple[int, ...]] = {}
+
+    def ways(self, state: int) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+        flat, k = memoryview(self.sets[state]).cast("i").tolist(), 0
+        while k < len(flat):
+            end = k + 3 + flat[k + 2]
+            yield flat[k], flat[k + 1], tuple(flat[k + 3 : end])
+            k = end
 
     def merged(self, data: bytes, below: int = 1 << 60) -> list[int]:
         """The merges of ranks under `below` by definition, for a few bytes: the pair of lowest rank first, leftmost first."""
@@ -112,66 +109,96 @@ class Transducer:
             self.spines[side][token] = got
         return got
 
+    def crossed(self, before: int, token: int) -> bool:
+        rank, left = self.ranks.get, self.spine(token, 0)
+        for a, end_a in self.spine(before, 1):
+            for b, end_b in left:
+                k = rank(a + b)
+                if k is not None and k < end_a and k <= end_b:
+                    return True
+        return False
+
     def may_follow(self, before: int, token: int) -> bool:
         """Whether no merge crosses the border of the two: none is due while both of its sides stand there."""
         key = before << 32 | token
         ok = self.follows.get(key)
         if ok is None:
-            if len(self.follows) >= self.most:
+            if len(self.follows) >= PAIRS:
                 self.follows.clear()
             self.spine(token, 0)  # checks that merges make this token
             ok = True
             if before >= 0:
-                rank, right = self.ranks.get, self.spine(token, 0)
-                ok = not any((k := rank(a + b)) is not None and k < end_a and k <= end_b for a, end_a in self.spine(before, 1) for b, end_b in right)
+                ok = not self.crossed(before, token)
             self.follows[key] = ok
         return ok
 
-    def move(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        """The next state and what is written."""
+    def move(self, state: int, byte: int) -> int:
+        """The next state; what the move writes is noted in `writes`."""
         ways = []
-        kids, token_of, inner = self.kids, self.token, self.inner
-        for before, node, pending in state.ways:
+        kids, token_of, inner, follows = self.kids, self.token, self.inner, self.follows
+        for before, node, pending in self.ways(state):
             child = kids.get(node << 8 | byte)
             if child is None:
                 continue
             if inner[child]:
                 ways.append((before, child, pending))
             token = token_of[child]
-            if token >= 0 and self.may_follow(before, token):
-                ways.append((token, 0, (*pending, token)))
+            if token >= 0:
+                ok = follows.get(before << 32 | token)
+                if ok or ok is None and self.may_follow(before, token):
+                    ways.append((token, 0, (*pending, token)))
         if not ways:
             raise ValueError("the ranks don't hold every byte")
         shared, first = 0, ways[0][2]
         least = min([len(w[2]) for w in ways])
         while shared < least and all([w[2][shared] == first[shared] for w in ways]):
             shared += 1
-        if shared:
-            ways = [(a, n, p[shared:]) for a, n, p in ways]
         ways.sort()
-        new = tuple(ways)
+        flat = array("i")
+        for a, n, p in ways:
+            flat.extend((a, n, len(p) - shared, *p[shared:]))
+        new = flat.tobytes()
         to = self.states.get(new)
         if to is None:
-            to = self.states[new] = State(self, new)
-        return to, first[:shared]
+            to = self.states[new] = len(self.sets)
+            self.sets.append(new)
+        at = state << 8 | byte
+        self.moves[at] = to
+        if shared:
+            self.writes[at] = first[:shared]
+        return to
+
+    def last(self, state: int, byte: int) -> tuple[int, ...]:
+        """What is written when the input ends with this byte: the one way that ends with a whole token. No state is made."""
+        for before, node, pending in self.ways(state):
+            child = self.kids.get(node << 8 | byte)
+            if child is not None and (token := self.token[child]) >= 0 and self.may_follow(before, token):
+                return (*pending, token)
+        raise ValueError("the ranks don't hold every byte")
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one piece of text, read to its end."""
-        if len(self.states) > self.most:
+        if len(self.sets) > self.most:
             self.restart()
-        state, out = self.start, []
-        for k in range(0, len(data), 1 << 16):
-            for b in data[k : k + (1 << 16)]:
-                state, wrote = state[b]
-                if wrote:
+        state, out, end = 0, [], len(data) - 1
+        for k in range(0, end, 1 << 16):
+            moves, writes = self.moves.get, self.writes.get
+            for b in data[k : min(end, k + (1 << 16))]:
+                at = state << 8 | b
+                state = moves(at)
+                if state is None:
+                    state = self.move(at >> 8, b)
+                if wrote := writes(at):
                     out += wrote
-            if len(self.states) > self.most:  # a huge piece: the state it is in goes on without the others
+            if len(self.sets) > self.most:  # a huge piece: the state it is in goes on without the others
+                here = self.sets[state]
                 self.restart()
-                state = self.states.setdefault(state.ways, State(self, state.ways))
-        for before, node, pending in state.ways:
-            if node == 0:
-                return out + list(pending)
-        raise ValueError("the ranks don't hold every byte")
+                state = self.states.setdefault(here, len(self.sets))
+                if state:
+                    self.sets.append(here)
+        if data:
+            out += self.last(state, data[end])
+        return out
 
 
 class Words(dict):
@@ -355,7 +382,12 @@ def encoded(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, docs: DataFrame, tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Counts and digests of the ids and of the text decoded from them; null text counts as empty."""
+    """One row per row of docs(doc_id, text, ...): doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null text counts as empty: no ids, the digests of nothing. Very long texts are encoded
+    whole, some pieces at a time; repeated rows come back as often as they came; an empty
+    table gives an empty result. Other columns are ignored.
+    """
     tokenizer, scratch = tokenizer or default_tokenizer(spark), Scratch(spark)
     rows = docs.select("doc_id", tokenizer.round_trip(F.col("text")).alias("b"))
     count = (F.octet_length("b.ids") / 4).cast("long").alias("n_tokens")
