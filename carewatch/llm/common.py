@@ -54,6 +54,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.sub(name))
         return self.spark.read.schema(df.schema).parquet(self.sub(name))
 
+    def sample(self, df: DataFrame, tasks: int, *keys: str) -> DataFrame:
+        """Write df, a bounded sample, in one fixed order over a few tasks, so that a model fitted on it is the same each time."""
+        df = df.repartition(tasks, keys[0]).sortWithinPartitions(*keys)
+        return self.stored(df.coalesce(tasks), "sample")  # where the session deals keys more widely
+
     def numbered(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         """Write df with a number of its own for each row and return it reread, with the column's name."""
         row = fresh(df, "_row")
@@ -85,7 +90,7 @@ class Scratch:
             for k, v in old.items():
                 self.spark.conf.set(k, v)
 
-    def small_batches(self, size: str = "8m"):
+    def small_batches(self, size: str = "2m"):
         """While this holds, Python workers get texts in batches of a bounded size."""
         return self.conf(execution__arrow__maxBytesPerBatch=size)
 

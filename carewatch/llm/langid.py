@@ -85,8 +85,10 @@ def fit(docs: DataFrame, may_learn=None, fit_rows: int = FIT_ROWS) -> Model:
     """Fit on about fit_rows documents of each language of docs(doc_id, text, lang), chosen by hashes of doc_id.
 
     Rows without a text, a letter or a language are left out. The bounded sample's gram
-    vectors are stored once and all models are fitted by Spark. With no rows every
-    prediction is `und`; with one language there is no choice to learn.
+    vectors are stored once, in several tasks, and all models are fitted by Spark; a language
+    that has fewer rows gives all of them. Very long texts are read whole; rows that repeat a
+    document count as often as they came. With no rows every prediction is `und`; with one
+    language there is no choice to learn.
     """
     scratch = Scratch(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, may_learn=None, fit_rows: int = FIT_ROWS) -> Model:
     sample = scratch.stored(sample, "vectors")
     sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     langs, tasks = sorted(sizes), max(1, -(-sum(sizes.values()) // TASK_ROWS))
-    sample = scratch.stored(sample.repartition(tasks, "doc_id", "lang").sortWithinPartitions("doc_id", "lang", "x"), "sample")
+    sample = scratch.sample(sample, tasks, "doc_id", "lang", "x")
     families = sorted({family_of(x) for x in langs})
     place_of = {f: float(k) for k, f in enumerate(families)}
     numbers = docs.sparkSession.createDataFrame([(x, place_of[family_of(x)]) for x in langs], "lang string, family double")
@@ -136,6 +138,14 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op9_langid(docs: DataFrame) -> DataFrame:
+    """One row per row of docs(doc_id, text, lang, ...): doc_id, held_out, lang_pred, score.
+
+    Learns from documents that aren't held out and have a text and a language (see fit).
+    Texts that are null or have no letter are `und` with score 0; of languages with equal
+    duels the surer one is taken, then the first by name. Rows with a null doc_id are
+    predicted like any other; repeated rows come back as often as they came. Other columns
+    are ignored; an empty table gives an empty result.
+    """
     model = fit(docs, may_learn=~held_out(F.col("doc_id"), 4, 2))
     rows = predicted(docs.select("doc_id", "text"), model)
     return rows.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")

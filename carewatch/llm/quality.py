@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from .common import SPACE, Scratch, fresh
 #: Most labelled rows a model is fitted on, those with the smallest hashes of doc_id.
 FIT_ROWS = 20_000
 TREES, DEPTH, SEED = 24, 4, 7
+#: Rows of the sample in a task, about.
+TASK_ROWS = 8192
 #: Weight of the lasso penalty.
 LASSO = 0.0015
 
@@ -80,8 +83,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, may_learn:
 
     Labels other than 0 and 1 are left out, a document with both counts as 1. may_learn
     narrows the rows by doc_id. The bounded sample's statistics are stored once; trees and
-    lasso are fitted by Spark. With no labels the score is 0.5, with one class a constant
-    near that class.
+    lasso are fitted by Spark. With no labels the score is 0.5; with one class, or where the
+    forest finds no split (few rows, or equal texts), a constant by the share of the class.
+    Null texts count as empty, very long ones are read whole; rows that repeat a document
+    count as often as they came.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null")
@@ -91,20 +96,22 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, may_learn:
     known = scratch.stored(known, "known")
     stats = statistics(F.col("text"))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most fit_rows ids
-    rows = rows.select("doc_id", "label", F.array(*(c.cast("double") for c in stats.values())).alias("stats"))
-    rows = scratch.stored(rows, "rows").orderBy("doc_id", "stats").coalesce(1)
-    rows = scratch.stored(rows, "sample")
+    rows = scratch.stored(rows.select("doc_id", "label", F.array(*(c.cast("double") for c in stats.values())).alias("stats")), "rows")
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    names = list(stats)
+    names, total = list(stats), sum(counts.values())
+    constant = RuleModel(names, math.log((counts.get(1.0, 0) + 0.5) / (counts.get(0.0, 0) + 0.5)), [])
     if len(counts) < 2:
-        total = sum(counts.values())
-        p = (counts.get(1.0, 0) + 0.5) / (total + 1)
-        return RuleModel(names, math.log(p / (1 - p)), [])
+        return constant
+    rows = scratch.sample(rows, max(1, -(-total // TASK_ROWS)), "doc_id", "label", "stats")
     rows = rows.withColumn("features", array_to_vector("stats")).cache()
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=5, featureSubsetStrategy="onethird", maxBins=64, cacheNodeIds=False).fit(rows)
     rules = sorted(paths(forest))
-    hit = F.array(*(holds(r, F.col("stats")).cast("double") for r in rules))
-    fitted = rows.select("label", array_to_vector(hit).alias("features")).cache()
+    if not rules:
+        rows.unpersist()
+        return constant
+    hit = array_to_vector(F.array(*(holds(r, F.col("stats")).cast("double") for r in rules)))
+    sparse = VectorAssembler(inputCols=["hit"], outputCol="features")  # a row holds to few rules
+    fitted = sparse.transform(rows.select("label", hit.alias("hit"))).select("label", "features").cache()
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, tol=1e-5, standardization=True).fit(fitted)
     fitted.unpersist()
     rows.unpersist()
@@ -125,6 +132,12 @@ def held_out(doc_id: Column, modulus: int, kept: int) -> Column:
 
 
 def op2_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of docs(doc_id, text, ...): doc_id, held_out, score, predicted.
+
+    Learns from labelled rows that aren't held out (see fit). Null texts count as empty and
+    are scored like any other; rows with a null doc_id are scored but never learned from;
+    repeated rows come back as often as they came. Other columns are ignored.
+    """
     model = fit(docs, labels, may_learn=~held_out(F.col("doc_id"), 3, 1))
     return scored(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
