@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,21 +112,32 @@ def exploded(docs: DataFrame, keys: list[str], found: str = "detections") -> Dat
     return rows.select(*keys, *((F.left(f"d.{n}", F.lit(cut[n])) if n in cut else F.col(f"d.{n}")).alias(n) for n in ("term", "category", "weight", "start", "end", "negated", "context", "sentence")))
 
 
-def match_by_join(docs: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
+#: Terms up to which a lexicon is sent to every task of match_by_join.
+BROADCAST_TERMS = 200_000
+
+
+def match_by_join(docs: DataFrame, key: str, lexicon: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(key, position, term, category, weight) for lexicons too large for a pattern: lower-cased word n-grams meet terms in an equi-join.
 
     Positions count words. Terms are matched by their words, so separators don't matter.
     The n are the numbers of words that terms of the lexicon have; a term without a word
-    matches nothing.
+    matches nothing. The n-grams are made within the row. A lexicon of at most
+    broadcast_terms terms, which is counted first, is broadcast; a larger one is shuffled.
     """
     parts = F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\w+"), F.lit(0))
-    terms = lexicon.withColumn("gram", F.array_join(parts, " ")).where(F.size(parts) > 0)
-    lengths = sorted(r["n"] for r in terms.select(F.size(parts).alias("n")).distinct().collect()) or [1]
+    terms = lexicon.withColumn("gram", F.array_join(parts, " ")).where(F.size(parts) > 0).select("gram", "term", "category", "weight", F.size(parts).alias("n"))
+    sizes = {r["n"]: r["count"] for r in terms.groupBy("n").count().collect()}
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))
-    at = F.explode(F.sequence(F.lit(1), F.size("words")))
-    rows = docs.select(F.col(key), words.alias("words")).where("size(words) > 0").select(key, "words", at.alias("position"))
-    grams = rows.select(key, "position", F.explode(F.array(*(F.when(F.col("position") + n - 1 <= F.size("words"), F.array_join(F.slice("words", F.col("position"), n), " ")) for n in lengths))).alias("gram")).where("gram is not null")
-    return grams.join(terms, "gram").select(key, "position", "term", "category", "weight")
+    rows, few = docs.select(F.col(key), words.alias("words")), sum(sizes.values()) <= broadcast_terms
+
+    def matched(n: int) -> DataFrame:
+        some = terms.where(F.col("n") == n).select("gram", "term", "category", "weight")
+        last = F.size("words") - n + 1
+        grams = F.col("words") if n == 1 else F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("words", i, n), " ")))
+        grams = rows.select(key, F.posexplode(grams).alias("position", "gram"))
+        return grams.join(F.broadcast(some) if few else some, "gram").select(key, (F.col("position") + 1).alias("position"), "term", "category", "weight")
+
+    return reduce(DataFrame.union, map(matched, sorted(sizes) or [1]))
 
 
 def highlighted(text: Column, found: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,22 @@ FLAGS = {
     "human_trafficking": [r"\b(?:tráfico\s+de\s+pessoas?|exploração\s+sexual\s+comercial|escravidão\s+sexual|aliciamento)\b"],
 }
 
+#: Parts of words, one of which a text must have for a pattern of the flag to match: they are looked for first.
+HINTS = {
+    "sexual_violence": ["estupro", "sexual", "sexo", "relação"],
+    "self_harm": ["suic", "auto"],
+    "neglect": ["negligência", "abandono", "desnutrição", "desidratação", "higiene", "privação"],
+    "psychological_control": ["coercitivo", "cárcere", "isolamento", "proibição", "gaslighting", "tortura"],
+    "chronic_violence": ["sempre", "todo", "constantemente", "frequentemente", "anos", "rotina", "recorrente", "repetid", "crônic"],
+    "weapons_involved": ["arma", "faca", "revólver", "pistola", "martelo", "contundente"],
+    "children_present": ["criança", "filh", "exposto"],
+    "pregnancy_violence": ["grávida", "gestante", "gestação", "barriga"],
+    "death_threats": ["mata", "morrer", "morte"],
+    "multiple_injuries": ["múltipl", "politraumatismo", "estágios"],
+    "child_labor": ["infantil", "menor", "criança"],
+    "human_trafficking": ["tráfico", "exploração", "escravidão", "aliciamento"],
+}
+
 # Substrings of the additive severity patterns with what each adds.
 SEVERITY_PATTERNS = {
     "chronic_violence": (["sempre", "todo dia", "constantemente", "anos", "rotina", "frequentemente"], 1.2),
@@ -103,12 +121,22 @@ def text_stats(text: Column) -> Column:
     return F.struct(*(c.cast("double").alias(n) for n, c in parts.items()))
 
 
-def pattern_flags(text: Column, flags: dict[str, list[str]] = FLAGS) -> Column:
-    """struct of booleans; negation doesn't matter to them. A text with none of them is read once."""
+def pattern_flags(text: Column, flags: dict[str, list[str]] = FLAGS, hints: dict[str, list[str]] = HINTS) -> Column:
+    """struct of booleans; negation doesn't matter to them.
+
+    A flag with hints runs its patterns only on texts that contain one of them, whatever
+    the case; flags without are all tried together first.
+    """
     text = F.coalesce(text, F.lit(""))
     pattern = lambda some: "(?isU)" + "|".join(f"(?:{p})" for p in some)
-    any_flag = text.rlike(pattern(p for patterns in flags.values() for p in patterns))
-    return F.struct(*((any_flag & text.rlike(pattern(patterns))).alias(n) for n, patterns in flags.items()))
+    rest = [p for n, patterns in flags.items() if n not in hints for p in patterns]
+    any_rest = text.rlike(pattern(rest)) if rest else F.lit(False)
+
+    def struct(low: Column) -> Column:
+        likely = {n: reduce(Column.__or__, (F.contains(low, F.lit(h)) for h in hints[n])) for n in flags if n in hints}
+        return F.struct(*((likely.get(n, any_rest) & text.rlike(pattern(patterns))).alias(n) for n, patterns in flags.items()))
+
+    return F.transform(F.array(F.lower(F.upper(text))), struct)[0]
 
 
 def severity_patterns(text: Column, patterns: dict = SEVERITY_PATTERNS) -> Column:

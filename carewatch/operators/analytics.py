@@ -113,10 +113,27 @@ def priority_queue(analyses: DataFrame, documents: DataFrame, limit: int = 50, *
     return with_documents(top, documents).select("analysis_id", "doc_id", "filename", "document_type", "notification_type", "severity_level", "score", "case_status").orderBy(F.desc("score"), "analysis_id")
 
 
-def queue_rank(analyses: DataFrame, by: str = "notification_type") -> DataFrame:
-    """Place of each pending case in its queue, and the case that follows; queues are apart by a column."""
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "analysis_id")
-    return queue_filters(doc_level(analyses), status="pendente").select("analysis_id", by, "score", F.row_number().over(order).alias("place"), F.lead("analysis_id").over(order).alias("next_id"))
+def queue_rank(analyses: DataFrame, by: str = "notification_type", slices: int = 64) -> DataFrame:
+    """Place of each pending case in its queue, and the case that follows; queues are apart by a column.
+
+    A queue is cut into slices at quantiles of the score, each ordered by a task of its
+    own; a table of one row per queue and slice says how many cases and which one come
+    before and after. A null score comes last; equal scores share a slice.
+    """
+    rows = queue_filters(doc_level(analyses), status="pendente").select("analysis_id", by, "score")
+    bounds = rows.approxQuantile("score", [k / slices for k in range(1, slices)], 0.5 / slices) if slices > 1 else []
+    above = F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<double>"), lambda b: b >= F.col("score"))
+    rows = rows.withColumn("_slice", F.coalesce(F.size(above), F.lit(slices)))
+    order = [F.desc("score"), F.col("analysis_id")]
+    first = F.min_by("analysis_id", F.struct(F.col("score").isNull(), -F.col("score"), "analysis_id"))
+    parts = rows.groupBy(by, "_slice").agg(F.count("*").alias("_n"), first.alias("_first"))
+    queue = Window.partitionBy(by).orderBy("_slice")
+    parts = parts.withColumn("_before", F.sum("_n").over(queue) - F.col("_n")).withColumn("_next", F.lead("_first").over(queue))
+    parts = F.broadcast(parts.select(F.col(by).alias("_by"), F.col("_slice").alias("_of"), "_before", "_next"))  # a row per queue and slice
+    here = Window.partitionBy(by, "_slice").orderBy(*order)
+    got = rows.withColumn("_place", F.row_number().over(here)).withColumn("_lead", F.lead("analysis_id").over(here))
+    got = got.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slice") == F.col("_of")))
+    return got.select("analysis_id", by, "score", (F.col("_before") + F.col("_place")).cast("int").alias("place"), F.coalesce("_lead", "_next").alias("next_id"))
 
 
 def known_patients(analyses: DataFrame) -> DataFrame:
@@ -144,10 +161,15 @@ def previous_occurrences(analyses: DataFrame) -> DataFrame:
 
 
 def other_occurrences(analyses: DataFrame, cases: DataFrame) -> DataFrame:
-    """The other analyses of the patients of cases(analysis_id), as a list."""
+    """One row per case of cases(analysis_id) whose patient is known: case_id, patient_hash, others, gravest.
+
+    The patient's analyses are found by patient_hash; they aren't paired with each other.
+    gravest is the highest score among all analyses of the patient.
+    """
     rows = known_patients(doc_level(analyses)).select("patient_hash", "analysis_id", "score")
+    patients = rows.groupBy("patient_hash").agg((F.count("*") - 1).alias("others"), F.max("score").alias("gravest"))
     mine = rows.join(cases.select("analysis_id").distinct(), "analysis_id", "left_semi").select("patient_hash", F.col("analysis_id").alias("case_id"))
-    return mine.join(rows, "patient_hash").where("case_id <> analysis_id").select("case_id", "analysis_id", "score")
+    return mine.join(patients, "patient_hash").select("case_id", "patient_hash", "others", "gravest")
 
 
 def recidivism(analyses: DataFrame, least: int = 2) -> DataFrame:

@@ -24,15 +24,19 @@ def union_models(models: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
+def with_min_score(entities: DataFrame, least: float = 0.70) -> DataFrame:
+    return entities.where(F.col("score") >= least)
+
+
 def entity_dedupe(entities: DataFrame, least: float = 0.70) -> DataFrame:
     """Entities with a score of `least` or more; of equal spans the first model's stays."""
     order = Window.partitionBy("doc_id", "start", "end").orderBy("model_rank", F.desc("score"), "text")
-    rows = entities.where(F.col("score") >= least).withColumn("_n", F.row_number().over(order))
+    rows = with_min_score(entities, least).withColumn("_n", F.row_number().over(order))
     return rows.where("_n = 1").drop("_n")
 
 
-def entity_metrics(entities: DataFrame, models: list[str]) -> DataFrame:
-    hit = relevant(F.col("text"))
+def entity_metrics(entities: DataFrame, models: list[str], stems: list[str] = STEMS) -> DataFrame:
+    hit = relevant(F.col("text"), stems)
     counts = [F.count_if(F.col("ner_model") == m).alias(f"n_{m}") for m in models]
     return entities.groupBy("doc_id").agg(F.count("*").alias("n_entities"), F.count_if(hit).alias("n_relevant"), F.round(F.coalesce(F.sum(F.when(hit, F.col("score").cast("decimal(18,6)"))), F.lit(0)), 4).cast("double").alias("relevant_score"), *counts)
 

@@ -30,7 +30,11 @@ def fit_classifier(rows: DataFrame, estimator: Estimator | None = None, label: s
     rows = rows.join(F.broadcast(weights.select(label, "class_weight")), label)  # one row per class
     last = estimator or LogisticRegression(family="multinomial", featuresCol="scaled", labelCol="label_index", weightCol="class_weight", maxIter=1000, standardization=False, regParam=1 / n)
     stages = [StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc"), StandardScaler(inputCol=features, outputCol="scaled", withMean=True), last]
-    return Pipeline(stages=stages).fit(rows.cache())
+    rows = rows.cache()
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def classes_of(model: PipelineModel) -> list[str]:

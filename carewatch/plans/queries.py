@@ -11,6 +11,8 @@ from ..operators import embeddings as emb
 from ..operators import entities as ent
 from ..operators import ml, privacy, workflow
 from ..sources import files as src
+from ..sources.shared import shared_folder
+from ..streaming import jobs
 from . import views as v
 from .views import table
 
@@ -86,12 +88,41 @@ def batch_status_report(spark, d):
 
 @query("csv_value_counts", "SELECT event_type, count(*) AS total FROM events GROUP BY event_type")
 def csv_value_counts(spark, d):
-    return an.count_by(table(spark, d, "events"), "event_type")
+    path = shared_folder(spark, "csv")
+    table(spark, d, "events").select("event_type").write.option("header", True).csv(path)
+    return src.csv_value_counts(spark, path, "event_type")
 
 
-@query("persist_detections", "SELECT analysis_id, left(term, 4) AS term, count(*) AS n FROM detections GROUP BY ALL", (H,))
+def text_files(spark, d):
+    """A folder with a file for each document."""
+    path = shared_folder(spark, "files")
+    table(spark, d, "documents").select(F.coalesce("text", F.lit(""))).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("read_files", "SELECT sha256(coalesce(text, '') || chr(10)) AS content_id, strlen(coalesce(text, '')) + 1 AS length FROM documents")
+def read_files(spark, d):
+    return src.read_files(spark, text_files(spark, d)).select(src.content_id(F.col("content")).alias("content_id"), "length")
+
+
+def persisted(spark, d):
+    """The tables of every document's analysis, written twice as one batch."""
+    path = shared_folder(spark, "tables")
+    rows = analysed(spark, d).withColumn("page_number", F.lit(None).cast("int")).withColumn("month", F.concat(F.lit("m"), F.col("doc_id") % 3))
+    for _ in range(2):
+        src.persist_tables(rows, path)
+    return path
+
+
+@query("persist_tables", "SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '^[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+$', '', 'g')) = 0 THEN 'texto_insuficiente' ELSE 'sucesso' END AS status, length(text)::INTEGER AS n_chars, 'm' || (doc_id % 3) AS month FROM documents")
+def persist_tables(spark, d):
+    return spark.read.parquet(f"{persisted(spark, d)}/documents").select("doc_id", "status", "n_chars", "month")
+
+
+@query("persist_detections", r"SELECT doc_id, category, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS term FROM documents) JOIN lexicon USING (term) GROUP BY ALL", (v.DEMO_SQL,))
 def persist_detections(spark, d):
-    return hits(spark, d).groupBy("analysis_id", F.left("term", F.lit(4)).alias("term")).agg(F.count("*").alias("n"))
+    rows = spark.read.parquet(f"{persisted(spark, d)}/detections")
+    return rows.groupBy("doc_id", "category", F.lower("term").alias("term")).agg(F.count("*").alias("n"))
 
 
 def cases(spark, d):
@@ -142,14 +173,26 @@ def pii_free_projection(spark, d):
     return privacy.pii_free(rows)
 
 
-@query("export_json", "SELECT count(*) AS total, min(analyzed_at) AS first, max(analyzed_at) AS last FROM cases", (A, D, CASES))
+@query("export_json", "SELECT analysis_id, severity_level, case_status, (SELECT count(*) FROM cases) AS total FROM cases", (A, D, CASES))
 def export_json(spark, d):
-    return cases(spark, d).agg(F.count("*").alias("total"), F.min("analyzed_at").alias("first"), F.max("analyzed_at").alias("last"))
+    path = shared_folder(spark, "json")
+    src.export_json(cases(spark, d), path)
+    envelope = spark.read.json(f"{path}/envelope").select("total")  # one row
+    return spark.read.json(f"{path}/cases").select("analysis_id", "severity_level", "case_status").crossJoin(F.broadcast(envelope))
+
+
+@query("export_sinan_csv", SINAN_SQL, (A, D, CASES, CODES))
+def export_sinan_csv(spark, d):
+    path = shared_folder(spark, "csv")
+    src.export_sinan_csv(with_kind(cases(spark, d)).withColumn("score", F.floor(F.col("score") * 100) / 100), path)
+    return spark.read.option("header", True).csv(path).na.fill("")
 
 
 @query("access_log_append", "SELECT patient_hash, 'abrir' AS action, 'sessão' AS session_id FROM cases WHERE severity_level = 'CRÍTICO' GROUP BY patient_hash", (A, D, CASES))
 def access_log_append(spark, d):
-    return privacy.access_rows(an.queue_filters(cases(spark, d), severity="CRÍTICO"), "abrir", "sessão").drop("accessed_at")
+    path = shared_folder(spark, "log")
+    src.append(privacy.access_rows(an.queue_filters(cases(spark, d), severity="CRÍTICO"), "abrir", "sessão"), path)
+    return spark.read.parquet(path).drop("accessed_at")
 
 
 @query("lexicon_table", "SELECT l.category, l.category_rank, l.weight::DOUBLE AS weight, l.term, count(doc_id) AS n_docs FROM lexicon l LEFT JOIN documents ON contains(lower(text), l.term) GROUP BY ALL", (v.DEMO_SQL,))
@@ -195,15 +238,16 @@ def queue_filters(spark, d):
     return an.queue_filters(analyses(spark, d), "pendente", "1-URGENT", "ALTO").select("analysis_id")
 
 
-@query("case_lookup", "SELECT a.analysis_id, filename, severity_level, term, category, weight, negated, position FROM analyses a JOIN docs USING (doc_id) LEFT JOIN detections h ON h.analysis_id = a.analysis_id WHERE a.score >= 23", (A, D, H))
+@query("case_lookup", "SELECT a.analysis_id, filename, severity_level, term, category, weight, negated, position FROM analyses a JOIN docs USING (doc_id) LEFT JOIN detections h ON h.analysis_id = a.analysis_id WHERE a.page_number IS NULL", (A, D, H))
 def case_lookup(spark, d):
     a = analyses(spark, d)
-    return an.case_lookup(a, documents(spark, d), hits(spark, d), a.where("score >= 23"))
+    return an.case_lookup(a, documents(spark, d), hits(spark, d), an.doc_level(a))
 
 
-@query("entity_min_score", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE 0.6 + l_discount * 2 >= 0.70")
+@query("entity_min_score", """SELECT doc_id, start, ner_model, text FROM (
+  SELECT l_orderkey AS doc_id, l_linenumber % 3 AS start, l_returnflag AS ner_model, p_type AS text, 0.6 + l_discount * 4 AS score FROM lineitem JOIN part ON l_partkey = p_partkey) WHERE score >= 0.70""")
 def entity_min_score(spark, d):
-    return table(spark, d, "lineitem").where(F.lit(0.6) + F.col("l_discount") * 2 >= 0.70).select("l_orderkey", "l_linenumber")
+    return ent.with_min_score(entities(spark, d)).select("doc_id", "start", "ner_model", "text")
 
 
 # ---- joins -------------------------------------------------------------------------------
@@ -220,11 +264,11 @@ def detections_join(spark, d):
     return small.join(analyses(spark, d), "analysis_id").select("analysis_id", "severity_level", "category", "n")
 
 
-PATIENTS = "patients AS (SELECT sha256(c_custkey::VARCHAR) AS patient_hash, c_name AS name FROM customer WHERE c_custkey % 3 <> 0)"
+PATIENTS = "patients AS (SELECT sha256(c_custkey::VARCHAR) AS patient_hash, c_name AS name FROM customer)"
 
 
 def patients(spark, d):
-    return table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("patient_hash"), F.col("c_name").alias("name"))
+    return table(spark, d, "customer").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("patient_hash"), F.col("c_name").alias("name"))
 
 
 @query("reidentify_patients", "SELECT analysis_id, name FROM analyses LEFT JOIN patients USING (patient_hash) WHERE severity_level = 'CRÍTICO'", (A, PATIENTS))
@@ -248,7 +292,28 @@ def lexicon_match_join(spark, d):
     return detect.match_by_join(table(spark, d, "documents"), "doc_id", lexicon_table(spark, v.DEMO)).groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 
-@query("span_overlap_removal")
+#: Hits of the one-word lexicon with their offsets: words and what stands between them, summed up.
+SIGN = r"[\p{L}\p{M}\p{N}_]"
+HITS = (
+    v.DEMO_SQL,
+    "whole AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    rf"split AS (SELECT doc_id, regexp_extract_all(t, '{SIGN}+') AS words, regexp_split_to_array(t, '{SIGN}+') AS gaps FROM whole)",
+    "pieces AS (SELECT doc_id, unnest(words) AS term, unnest(gaps[1:len(words)]) AS gap, generate_subscripts(words, 1) AS i FROM split)",
+    "placed AS (SELECT doc_id, term, sum(length(gap) + length(term)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM pieces)",
+    """found AS (SELECT doc_id, p.term, category, weight, (stop - length(p.term))::INTEGER AS start, stop::INTEGER AS "end" FROM placed p JOIN lexicon l ON lower(p.term) = l.term)""",
+    rf"""hits AS (SELECT f.*, t, regexp_matches(substr(t, greatest(1, start - 119), least(start, 120)), '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({"|".join(v.DEMO_CUES)})[^\p{{L}}\p{{M}}\p{{N}}_.!?][^.!?]{{0,99}}$') AS negated FROM found f JOIN whole USING (doc_id))""",
+)
+TRIM = r"^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$"
+
+
+def bounded(pattern: str) -> str:
+    """A Java pattern for RE2, which has no Unicode word border: signs beside the outer borders, inner ones left out."""
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    head, tail = pattern.startswith(r"\b"), pattern.endswith(r"\b")
+    return (f"(?:^|{edge})" if head else "") + pattern.replace(r"\b", "") + (f"(?:$|{edge})" if tail else "")
+
+
+@query("span_overlap_removal", 'SELECT doc_id, start, "end", term, category FROM hits', HITS)
 def span_overlap_removal(spark, d):
     found = rules.detected(table(spark, d, "documents"), v.DEMO, v.DEMO_CUES)
     return detect.exploded(found, ["doc_id"]).select("doc_id", "start", "end", "term", "category")
@@ -268,10 +333,10 @@ def previous_occurrences(spark, d):
     return an.previous_occurrences(analyses(spark, d))
 
 
-@query("other_occurrences", "SELECT c.analysis_id AS case_id, k.analysis_id, k.score FROM known c JOIN known k USING (patient_hash) WHERE c.score >= 23 AND c.analysis_id <> k.analysis_id", (A, KNOWN))
+@query("other_occurrences", "SELECT analysis_id AS case_id, patient_hash, count(*) OVER w - 1 AS others, max(score) OVER w AS gravest FROM known WINDOW w AS (PARTITION BY patient_hash)", (A, KNOWN))
 def other_occurrences(spark, d):
     a = analyses(spark, d)
-    return an.other_occurrences(a, a.where("score >= 23"))
+    return an.other_occurrences(a, a)
 
 
 @query("feedback_training_set", "SELECT doc_id, length(text) AS n_chars, kind AS label FROM kinds JOIN documents USING (doc_id)", (v.FEEDBACK,))
@@ -371,7 +436,9 @@ def confusion_top10(spark, d):
 
 @query("feedback_append", "SELECT feedback_id, original_type, corrected_type, correct FROM feedback", (v.FEEDBACK,))
 def feedback_append(spark, d):
-    return v.feedback(spark, d).select("feedback_id", "original_type", "corrected_type", "correct")
+    path = shared_folder(spark, "feedback")
+    src.append(v.feedback(spark, d), path)
+    return spark.read.parquet(path).select("feedback_id", "original_type", "corrected_type", "correct")
 
 
 @query("document_score", "SELECT analysis_id, round(sum(weight), 1) AS score FROM detections WHERE NOT negated GROUP BY 1", (H,))
@@ -439,9 +506,7 @@ def entity_dedupe(spark, d):
 
 @query("entity_metrics", "SELECT doc_id, count(*) AS n_entities, count(*) FILTER (contains(lower(text), 'eco') OR contains(lower(text), 'promo')) AS n_relevant, coalesce(round(sum(score::DECIMAL(18,6)) FILTER (contains(lower(text), 'eco') OR contains(lower(text), 'promo')), 4), 0)::DOUBLE AS relevant_score, count(*) FILTER (ner_model = 'A') AS \"n_A\", count(*) FILTER (ner_model = 'N') AS \"n_N\", count(*) FILTER (ner_model = 'R') AS \"n_R\" FROM kept GROUP BY 1", (ENTITIES, DEDUPED))
 def entity_metrics(spark, d):
-    rows = ent.entity_dedupe(entities(spark, d))
-    stem = F.when(ent.relevant(F.col("text"), ["eco", "promo"]), "trauma").otherwise("outro")
-    return ent.entity_metrics(rows.withColumn("text", stem), list("ANR"))
+    return ent.entity_metrics(ent.entity_dedupe(entities(spark, d)), list("ANR"), ["eco", "promo"])
 
 
 @query("entity_relevant", "SELECT DISTINCT p_type AS text, contains(lower(p_type), 'eco') OR contains(lower(p_type), 'promo') AS relevant FROM part")
@@ -597,7 +662,8 @@ def format_date_br(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.format_date_br(F.col("o_orderdate").cast("string")).alias("day"), text.format_date_br(F.col("o_orderpriority")).alias("no_date"))
 
 
-@query("sinan_form_row", """SELECT strftime(o_orderdate, '%d/%m/%Y') AS "DT_NOTIF", o_orderkey::VARCHAR AS "ID_ANALISE", coalesce(icd, 'T74.9') AS "CID10", CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'O' ELSE 'I' END AS "CS_SEXO", CASE WHEN o_orderkey % 3 = 0 THEN '4' ELSE '9' END AS "CS_RACA", CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '99' END AS "VINCULO_AGRES"
+@query("sinan_form_row", """SELECT strftime(o_orderdate, '%d/%m/%Y') AS "DT_NOTIF", o_orderkey::VARCHAR AS "ID_ANALISE", coalesce(icd, 'T74.9') AS "CID10", CASE o_orderstatus WHEN 'F' THEN 'F' WHEN 'O' THEN 'O' ELSE 'I' END AS "CS_SEXO", CASE WHEN o_orderkey % 3 = 0 THEN '4' ELSE '9' END AS "CS_RACA", CASE WHEN o_orderkey % 2 = 0 THEN '1' ELSE '99' END AS "VINCULO_AGRES",
+  '4' AS "TP_NOT", coalesce(icd, 'T74.9') AS "ID_AGRAVO", '' AS "DT_NASC", '9' AS "CS_ESCOL_N", '' AS "NU_IDADE_N", 'SP' AS "SG_UF_NOT", '' AS "ID_MUNICIP", coalesce(form_code, '9') AS "TIPO_VIOL", '' AS "DT_OCOR", '3' AS "LOCAL_OCOR", '' AS "NOME_PAC_HASH", '1' AS "CS_EVOLUCAO", '31/01/2024' AS "DT_ENCERRA", '' AS "OBSERVACOES"
 FROM orders LEFT JOIN codes ON kind = """ + KIND.replace("notification_type", "o_orderpriority"), (CODES,))
 def sinan_form_row(spark, d):
     key = F.col("o_orderkey")
@@ -606,52 +672,117 @@ def sinan_form_row(spark, d):
         key.cast("string").alias("analysis_id"), F.col("notification_type").alias("ntype"), F.col("o_orderdate").alias("dt_notif"), F.lit(None).cast("date").alias("dt_ocor"), F.lit(None).cast("date").alias("dt_nasc"), sex.alias("sexo"),
         F.when(key % 3 == 0, "Parda").alias("raca"), F.lit("x").alias("escolaridade"), F.lit("sp").alias("uf"), F.lit("").alias("municipio"), F.lit("Escola").alias("local"), F.when(key % 2 == 0, "Cônjuge/companheiro").otherwise("?").alias("vinculo"), F.lit("Alta").alias("evolucao"), F.lit("").alias("patient_hash"), F.lit("").alias("observacoes"),
     )
-    return src.sinan_form_rows(forms).select("DT_NOTIF", "ID_ANALISE", "CID10", "CS_SEXO", "CS_RACA", "VINCULO_AGRES")
+    return src.sinan_form_rows(forms, F.lit("2024-01-31").cast("date"))
 
 
 def analysed(spark, d):
     return rules.analyze(table(spark, d, "documents").select("doc_id", "text"), v.DEMO, v.DEMO_CUES, DEMO_CATEGORIES)
 
 
-@query("analyze_documents")
+GATED = [flag for flag, *_ in rules.RULES.values() if flag]
+FLAG = {n: "(" + " OR ".join(f"regexp_matches(t, '(?is){bounded(p)}')" for p in patterns) + ")" for n, patterns in text.FLAGS.items()}
+LEVEL = "CASE " + " ".join(f"WHEN score >= {least} THEN '{name}'" for name, least, _ in SEVERITIES[:4]) + f" WHEN score > 0 THEN '{SEVERITIES[4][0]}' ELSE '{SEVERITIES[5][0]}' END"
+KINDS = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
+SOFT = "CASE WHEN list_max(s) <= 0 THEN [0, 0, 0, 0, 0, 0, 0, 1]::DOUBLE[] ELSE list_transform(s, lambda x: round(exp(x - list_max(s)) / list_sum(list_transform(s, lambda y: exp(y - list_max(s)))), 4)) END"
+#: Scores by hits and flags; the categories of the demo lexicon add to no type.
+JUDGED = (
+    "sums AS (SELECT doc_id, count(*) AS n_hits, count(*) FILTER (negated) AS n_negated, coalesce(sum(weight::DECIMAL(10,3)) FILTER (NOT negated), 0)::DOUBLE AS total FROM hits GROUP BY doc_id)",
+    "raw AS (SELECT doc_id, coalesce(total, 0) AS score, coalesce(n_hits, 0)::INTEGER AS n_hits, coalesce(n_negated, 0)::INTEGER AS negated_count, [" + ", ".join(f"{FLAG[flag]}::INTEGER * {weight}::DOUBLE" if flag else "0::DOUBLE" for flag, weight, *_ in rules.RULES.values()) + "] AS s FROM whole LEFT JOIN sums USING (doc_id))",
+    f"judged AS (SELECT *, {SOFT} AS p FROM raw)",
+)
+
+
+@query("analyze_documents", f"SELECT doc_id, score, {LEVEL} AS severity_level, {KINDS}[list_position(p, list_max(p))] AS notification_type, list_max(p) AS confidence, 'rules' AS mode, negated_count, n_hits FROM judged", HITS + JUDGED)
 def analyze_documents(spark, d):
-    return analysed(spark, d).select("doc_id", "score", "severity_level", "notification_type", "confidence", "mode", "negated_count", F.size("detections").alias("n_hits"), F.to_json("all_probabilities").alias("all_probabilities"))
+    return analysed(spark, d).select("doc_id", "score", "severity_level", "notification_type", "confidence", "mode", "negated_count", F.size("detections").alias("n_hits"))
 
 
-@query("detection_negated")
+@query("detection_negated", "SELECT doc_id, start, term, negated FROM hits", HITS)
 def detection_negated(spark, d):
     return detect.exploded(analysed(spark, d), ["doc_id"]).select("doc_id", "start", "term", "negated")
 
 
-@query("detection_context")
+@query("detection_context", rf"""SELECT doc_id, start, left(regexp_replace(substr(t, greatest(0, start - 120) + 1, "end" + 120 - greatest(0, start - 120)), '{TRIM}', '', 'g'), 300) AS context FROM hits""", HITS)
 def detection_context(spark, d):
-    return detect.exploded(analysed(spark, d), ["doc_id"]).select("doc_id", "start", "context", "sentence")
+    return detect.exploded(analysed(spark, d), ["doc_id"]).select("doc_id", "start", "context")
+
 
+@query("detection_sentence", rf"""SELECT doc_id, start, left(regexp_replace(regexp_replace(substr(t, 1, start), '(?s)^.*[.!?\n]', '') || term || regexp_extract(substr(t, "end" + 1), '(?s)^([^.!?\n]*[.!?\n]?)', 1), '{TRIM}', '', 'g'), 500) AS sentence FROM hits""", HITS)
+def detection_sentence(spark, d):
+    return detect.exploded(analysed(spark, d), ["doc_id"]).select("doc_id", "start", "sentence")
 
-@query("contextual_intensity")
+
+MORE = " + ".join(f"regexp_matches(near, '(?i){bounded(p)}')::INTEGER * {more}" for some, more in ((detect.INTENSIFYING, 0.5), (detect.MEDICAL, 0.7)) for p in some)
+
+
+@query("contextual_intensity", f"""SELECT doc_id, start, round(least(5.0, 1.0 + {MORE}), 1)::DOUBLE AS intensity FROM (SELECT doc_id, start, lower(substr(t, greatest(0, start - 200) + 1, "end" + 200 - greatest(0, start - 200))) AS near FROM hits)""", HITS)
 def contextual_intensity(spark, d):
     rows = analysed(spark, d).select("doc_id", "text", F.explode("detections").alias("h"))
-    return rows.select("doc_id", "h.start", detect.contextual_intensity(F.col("text"), F.col("h.start"), F.col("h.end")).alias("intensity"), detect.negated_strictly(F.col("text"), F.col("h.start"), F.col("h.end"), v.DEMO_CUES).alias("negated_strictly"))
+    return rows.select("doc_id", "h.start", detect.contextual_intensity(F.col("text"), F.col("h.start"), F.col("h.end")).alias("intensity"))
+
+
+@query("negation_strict", rf"""SELECT doc_id, start, regexp_matches(substr(t, greatest(0, start - 150) + 1, "end" - greatest(0, start - 150)), '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({"|".join(v.DEMO_CUES)})\s([\s\p{{L}}\p{{M}}\p{{N}}_]{{0,78}}\s)?{detect.STEMS}') AS negated_strictly FROM hits""", HITS)
+def negation_strict(spark, d):
+    rows = analysed(spark, d).select("doc_id", "text", F.explode("detections").alias("h"))
+    return rows.select("doc_id", "h.start", detect.negated_strictly(F.col("text"), F.col("h.start"), F.col("h.end"), v.DEMO_CUES).alias("negated_strictly"))
+
+
+FEATURES = rules.feature_names(DEMO_CATEGORIES)
+LIVE = ", ".join(f"""coalesce(sum(weight::DECIMAL(10,3)) FILTER (category = '{c}' AND NOT negated), 0)::DOUBLE AS "score_{c}", count(*) FILTER (category = '{c}' AND NOT negated) AS "count_{c}\"""" for c in DEMO_CATEGORIES)
+NUMBERS = {f"pattern_{n}": f"{sql}::INTEGER" for n, sql in FLAG.items()} | {f"text_{n}": n for n in rules.STATS}
 
 
-@query("feature_vector")
+@query("feature_vector", "SELECT doc_id, " + ", ".join(f'coalesce({NUMBERS.get(n, chr(34) + n + chr(34))}, 0)::DOUBLE AS "{n}"' for n in FEATURES) + f""" FROM whole JOIN ({SQL["text_stats"]}) USING (doc_id)
+LEFT JOIN (SELECT doc_id, {LIVE}, count(*) FILTER (negated) AS count_negated, coalesce(sum(weight::DECIMAL(10,3)) FILTER (NOT negated), 0)::DOUBLE AS total_score FROM hits GROUP BY doc_id) USING (doc_id)""", HITS)
 def feature_vector(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    return rules.with_features(analysed(spark, d), DEMO_CATEGORIES).select("doc_id", vector_to_array("features").alias("features"))
+    rows = rules.with_features(analysed(spark, d), DEMO_CATEGORIES).select("doc_id", vector_to_array("features").alias("x"))
+    return rows.select("doc_id", *(F.col("x")[k].alias(n) for k, n in enumerate(FEATURES)))
+
+
+def judged_orders(spark, d):
+    """orders with made-up scores of categories and flags."""
+    a, b = F.col("o_orderkey"), F.col("o_custkey")
+    numbers = {"medical_formal": a % 7, "legal_police": b % 5, "colloquial_popular": a % 3 + 1.5, "psychological_abuse": a % 6, "maria_penha_domestic": b % 4, "child_specific": a % 5}
+    flags = {"sexual_violence": a % 2 == 0, "psychological_control": b % 2 == 0, "self_harm": a % 3 == 0, "neglect": a % 5 == 0, "child_labor": b % 3 == 0, "human_trafficking": a % 7 == 0}
+    scores = F.create_map(*(x for n, c in numbers.items() for x in (F.lit(n), c.cast("double"))))
+    rows = table(spark, d, "orders").select("o_orderkey", scores.alias("scores"), F.struct(*(c.alias(n) for n, c in flags.items())).alias("flags"))
+    return rows.select("o_orderkey", rules.rule_scores(F.col("scores"), F.col("flags")).alias("s"))
+
 
+ORDERS_JUDGED = """half AS (SELECT o_orderkey, o_orderkey a, o_custkey b FROM orders),
+scored AS (SELECT o_orderkey, [
+  (CASE WHEN a % 7 >= 2 THEN (a % 7) * 0.5 ELSE 0 END + CASE WHEN b % 5 >= 2 THEN (b % 5) * 0.5 ELSE 0 END + CASE WHEN a % 3 + 1.5 >= 2 THEN (a % 3 + 1.5) * 0.5 ELSE 0 END)::DOUBLE,
+  CASE WHEN a % 2 = 0 THEN 3 ELSE 0 END::DOUBLE,
+  CASE WHEN b % 2 = 0 THEN 2 + CASE WHEN a % 6 >= 3 THEN (a % 6) * 0.5 ELSE 0 END + CASE WHEN b % 4 >= 3 THEN (b % 4) * 0.5 ELSE 0 END ELSE 0 END::DOUBLE,
+  CASE WHEN a % 3 = 0 THEN 3 ELSE 0 END::DOUBLE,
+  CASE WHEN a % 5 = 0 THEN 4 + CASE WHEN a % 5 >= 2 THEN (a % 5) * 0.5 ELSE 0 END ELSE 0 END::DOUBLE,
+  CASE WHEN b % 3 = 0 THEN 3 ELSE 0 END::DOUBLE, CASE WHEN a % 7 = 0 THEN 3 ELSE 0 END::DOUBLE, 0::DOUBLE] AS s FROM half)"""
 
-@query("rule_probabilities", "SELECT analysis_id, round(exp(score - greatest(score, 3.0, 0)) / (exp(score - greatest(score, 3.0, 0)) + exp(3.0 - greatest(score, 3.0, 0)) + 6 * exp(0 - greatest(score, 3.0, 0))), 3) AS p_physical FROM analyses", (A,))
+
+@query("rule_scores", "SELECT o_orderkey, " + ", ".join(f"s[{k + 1}] AS s{k}" for k in range(8)) + " FROM scored", (ORDERS_JUDGED,))
+def rule_scores(spark, d):
+    return judged_orders(spark, d).select("o_orderkey", *(F.col("s")[k].alias(f"s{k}") for k in range(8)))
+
+
+@query("rule_probabilities", "SELECT o_orderkey, " + ", ".join(f"p[{k + 1}] AS p{k}" for k in range(8)) + f" FROM (SELECT o_orderkey, {SOFT} AS p FROM scored)", (ORDERS_JUDGED,))
 def rule_probabilities(spark, d):
-    zero = [F.lit(0.0)] * 6
-    p = rules.rule_probabilities(F.array(F.col("score"), F.lit(3.0), *zero))
-    top = F.greatest(F.col("score"), F.lit(3.0))
-    exact = F.exp(F.col("score") - top) / (F.exp(F.col("score") - top) + F.exp(3.0 - top) + 6 * F.exp(-top))
-    near = F.abs(p[0] - exact) < 0.0001
-    return analyses(spark, d).select("analysis_id", F.when(near, F.round(exact, 3)).alias("p_physical"))
+    rows = judged_orders(spark, d).select("o_orderkey", rules.rule_probabilities(F.col("s")).alias("p"))
+    return rows.select("o_orderkey", *(F.col("p")[k].alias(f"p{k}") for k in range(8)))
+
+
+@query("predict_type", f"SELECT o_orderkey, {KINDS}[list_position(p, list_max(p))] AS notification_type, list_max(p) AS confidence FROM (SELECT o_orderkey, {SOFT} AS p FROM scored)", (ORDERS_JUDGED,))
+def predict_type(spark, d):
+    rows = judged_orders(spark, d).select("o_orderkey", rules.rule_probabilities(F.col("s")).alias("p"))
+    return rows.select("o_orderkey", rules.best_type(F.col("p")).alias("notification_type"), F.array_max("p").alias("confidence"))
 
 
-@query("highlight_spans")
+ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query("highlight_spans", f"""SELECT doc_id, coalesce(string_agg({ESC.format('substr(o.t, "at" + 1, start - "at")')} || CASE WHEN negated THEN '<mark style="text-decoration:line-through" title="Negado: ' ELSE '<mark title="' || category || ': ' END || term || '">' || term || '</mark>', '' ORDER BY start), '') || {ESC.format('substr(any_value(whole.t), coalesce(max("end"), 0) + 1)')} AS html
+FROM whole LEFT JOIN (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS "at" FROM hits) o USING (doc_id) GROUP BY doc_id""", HITS)
 def highlight_spans(spark, d):
     return analysed(spark, d).select("doc_id", detect.highlighted(F.col("text"), F.col("detections")).alias("html"))
 
@@ -662,11 +793,13 @@ def probabilities_json(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.from_json(packed, "map<string,double>")["p"].alias("o_totalprice"))
 
 
-@query("vector_concat", "SELECT doc_id, len(embedding) + 2 AS width, length(text) AS n_chars FROM documents JOIN embeddings ON vec_id = doc_id")
+@query("vector_concat", f"SELECT doc_id, len(embedding) + {len(FEATURES)} AS width, round(embedding[len(embedding)]::DOUBLE, 6) AS last, length(coalesce(text, ''))::DOUBLE AS n_chars FROM documents JOIN embeddings ON vec_id = doc_id")
 def vector_concat(spark, d):
-    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    both = docs.join(vectors, "doc_id").select("doc_id", F.concat(F.array(F.length("text").cast("double"), F.lit(1.0)), F.col("embedding").cast("array<double>")).alias("v"))
-    return both.select("doc_id", F.size("v").cast("long").alias("width"), F.col("v")[0].cast("long").alias("n_chars"))
+    from pyspark.ml.functions import vector_to_array
+
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    both = rules.with_features(analysed(spark, d).join(vectors, "doc_id"), DEMO_CATEGORIES, embedding="embedding").select("doc_id", vector_to_array("features").alias("x"))
+    return both.select("doc_id", F.size("x").cast("long").alias("width"), F.round(F.element_at("x", -1), 6).alias("last"), F.col("x")[FEATURES.index("text_char_count")].alias("n_chars"))
 
 
 # ---- models ------------------------------------------------------------------------------
@@ -690,6 +823,18 @@ def fit_classifier(spark, d):
     return ml.score_classifier(rows, model).select("doc_id", "label", "notification_type", "confidence")
 
 
+@query("model_save_load", "SELECT doc_id, TRUE AS same FROM labels JOIN documents USING (doc_id)")
+def model_save_load(spark, d):
+    """A model that was written and read back gives every row the same type and confidence."""
+    rows, path = training_rows(spark, d), shared_folder(spark, "model")
+    model = ml.fit_classifier(rows)
+    ml.save(model, path)
+    again, _ = ml.load(spark, path)
+    first = ml.score_classifier(rows, model).withColumnsRenamed({"notification_type": "type", "confidence": "sure"}).drop("all_probabilities")
+    both = ml.score_classifier(first, again)
+    return both.select("doc_id", (F.col("type").eqNullSafe(F.col("notification_type")) & F.col("sure").eqNullSafe(F.col("confidence"))).alias("same"))
+
+
 @query("evaluate_sensitivity", "SELECT count(*) FILTER (h AND a) AS true_positives, count(*) FILTER (a) AS positives, round(count(*) FILTER (h AND a) / count(*) FILTER (a), 6) AS sensitivity, round(p - 1.96 * sqrt(p * (1 - p) / n), 6) AS ci_low, round(p + 1.96 * sqrt(p * (1 - p) / n), 6) AS ci_high FROM (SELECT *, count(*) FILTER (h AND a) OVER () / count(*) FILTER (a) OVER () AS p, count(*) FILTER (a) OVER () AS n FROM (SELECT toxic = 1 AS a, contains(lower(text), 'pathetic') OR contains(lower(text), 'stupid') AS h FROM labels JOIN documents USING (doc_id))) GROUP BY p, n")
 def evaluate_sensitivity(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
@@ -717,3 +862,21 @@ def stream_case_state(spark, d):
     nothing = F.lit(None).cast("string")
     log = rows.select(F.col("user_id").alias("case_id"), "ts", "event_id", action.alias("action"), nothing.alias("assigned_to"), nothing.alias("notes"))
     return workflow.latest_status(decisions_of(log)).select("case_id", "case_status", "n_events")
+
+
+@query("stream_dedupe", "SELECT DISTINCT sha256(coalesce(text, '') || chr(10)) AS doc_id FROM documents")
+def stream_dedupe(spark, d):
+    """Files as a stream, each content once."""
+    out, check = shared_folder(spark, "deduped"), shared_folder(spark, "checkpoint")
+    docs = jobs.stream_dedupe(jobs.documents_of(jobs.file_stream(spark, text_files(spark, d)))).select("doc_id")
+    docs.writeStream.format("parquet").option("checkpointLocation", check).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select("doc_id")
+
+
+@query("stream_ingest", r"SELECT category, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(t), '[\p{L}\p{M}\p{N}_]+')) AS term FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)) JOIN lexicon USING (term) GROUP BY category", (v.DEMO_SQL,))
+def stream_ingest(spark, d):
+    """Hits by category after the stream took in every file."""
+    out, check = shared_folder(spark, "ingested"), shared_folder(spark, "checkpoint")
+    analyse = lambda docs: rules.detected(docs, v.DEMO, v.DEMO_CUES).select("doc_id", "detections.category")
+    jobs.stream_ingest(spark, text_files(spark, d), out, check, analyse, glob="*.txt").awaitTermination()
+    return spark.read.parquet(f"{out}/analyses").select(F.explode("category").alias("category")).groupBy("category").agg(F.count("*").alias("n"))

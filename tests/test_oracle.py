@@ -35,7 +35,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == "corpus_pipeline" or name.startswith("carewatch.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert "priority_queue" in e.queries() and not any(n.startswith("op1_") for n in e.queries())

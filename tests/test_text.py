@@ -140,3 +140,21 @@ def test_detection_has_no_python(spark):
     rows = spark.createDataFrame([("x",)], "text string")
     plan = rules.analyze(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_match_by_join_sends_the_lexicon(spark):
+    """The lexicon is the broadcast side up to the bound, and shuffled beyond it, with the same rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lexicon = spark.createDataFrame([("c", 0, 1.0, "key"), ("c", 0, 1.0, "the token"), ("d", 1, 2.0, "token")], "category string, category_rank int, weight double, term string")
+    small, large = detect.match_by_join(docs, "doc_id", lexicon), detect.match_by_join(docs, "doc_id", lexicon, broadcast_terms=1)
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "leftHint" not in plan
+    assert sorted(small.collect()) == sorted(large.collect()) != []
+
+
+def test_flags_need_no_hints(spark):
+    """Hints only spare work: flags are the same without them."""
+    said = ["ESTUPRO conjugal", "obrigou a um ato  sexual", "Ideação\nSuicida", "AUTOMUTILAÇÃO", "má  higiene", "cárcere privado", "todo dia ele bate", "arma de fogo", "na frente das crianças", "chutou a barriga", "vou te matar", "fraturas múltiplas", "menor trabalhando", "tráfico de pessoas", "nada", None, ""]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    got = rows.select(text.pattern_flags(F.col("t")).alias("a"), text.pattern_flags(F.col("t"), hints={}).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and [any(r.a) for r in got] == [True] * 14 + [False] * 3
