@@ -145,7 +145,8 @@ def test_detection_has_no_python(spark):
 def test_match_by_join_sends_the_lexicon(spark):
     """The lexicon is the broadcast side up to the bound, and shuffled beyond it, with the same rows."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    lexicon = spark.createDataFrame([("c", 0, 1.0, "key"), ("c", 0, 1.0, "the token"), ("d", 1, 2.0, "token")], "category string, category_rank int, weight double, term string")
+    some = re.findall(r"\w+", docs.where("length(text) > 100").first().text.lower())
+    lexicon = spark.createDataFrame([("c", 0, 1.0, some[0]), ("c", 0, 1.0, f"{some[1]} {some[2]}"), ("d", 1, 2.0, some[3])], "category string, category_rank int, weight double, term string")
     small, large = detect.match_by_join(docs, "doc_id", lexicon), detect.match_by_join(docs, "doc_id", lexicon, broadcast_terms=1)
     plan = small._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan and "leftHint" not in plan
