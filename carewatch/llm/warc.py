@@ -18,6 +18,8 @@ from .common import Scratch
 
 #: Bytes read from an archive at a time, and bytes of records after which a writer begins the next archive.
 READ, ROLL = 1 << 16, 256 << 20
+#: Longest header of a record: more than a Spark string can make of a url. Longest HTTP header looked for in a block.
+HEADER, HTTP_HEADER = 7 << 30, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "target_uri string, record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string, status string"
 
@@ -111,13 +113,18 @@ class Members:
         self.ended = self.z.eof
         return True
 
-    def header(self, most: int = 1 << 20) -> bytes:
+    def header(self, most: int = HEADER) -> bytes:
         """Up to the next empty line."""
-        while (end := self.plain.find(b"\r\n\r\n")) < 0:
-            if len(self.plain) > most or not self.more():
+        out = bytearray()
+        while True:
+            seen = max(0, len(out) - 3)
+            out += self.plain
+            self.plain = b""
+            if (end := out.find(b"\r\n\r\n", seen)) >= 0:
+                self.plain = bytes(out[end + 4 :])
+                return bytes(out[:end])
+            if len(out) > most or not self.more():
                 raise ValueError("header without end")
-        out, self.plain = self.plain[:end], self.plain[end + 4 :]
-        return out
 
     def body(self, n: int) -> Iterator[bytes]:
         """The next n bytes in pieces."""
@@ -143,16 +150,21 @@ def read_record(m: Members, keep: bool) -> dict:
     h = fields(head)
     left = int(h["content-length"])
     block, payload, kept, n, status = hashlib.sha1(), hashlib.sha1(), [], 0, "ok"
-    http: bytes | None = b"" if h.get("content-type", "").startswith("application/http") else None
+    http = bytearray() if h.get("content-type", "").startswith("application/http") else None
     said = None
     for piece in m.body(left):
         block.update(piece)
         if http is not None:
+            seen = max(0, len(http) - 3)
             http += piece
-            if (end := http.find(b"\r\n\r\n")) < 0:
+            if (end := http.find(b"\r\n\r\n", seen)) >= 0:
+                said = fields(bytes(http[:end])).get("content-length")
+                piece = bytes(http[end + 4 :])
+            elif len(http) > HTTP_HEADER:  # a block without an HTTP header: all of it is payload
+                piece = bytes(http)
+            else:
                 continue
-            said = fields(http[:end]).get("content-length")
-            piece, http = http[end + 4 :], None
+            http = None
         payload.update(piece)
         n += len(piece)
         if keep:
@@ -243,6 +255,12 @@ def with_revisits(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFra
 
 
 def op1_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """One row per row of pages(page_id, url, html, ...), as read back: page_id, payload_bytes, payload_digest, record_type, refers_to, status.
+
+    Null html is an empty payload, a null url the record's id; very long payloads are read
+    in pieces; rows that repeat a page are records of their own (see with_revisits). Other
+    columns are ignored; an empty table gives an empty result.
+    """
     scratch = Scratch(spark)
     records = with_revisits(pages, scratch)
     manifest = scratch.stored(write_warc(records, scratch.sub("archives")), "manifest")
