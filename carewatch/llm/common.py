@@ -8,12 +8,14 @@ import time
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the operators know it, as a Java regex class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Most buckets of a table; Spark takes 100,000.
+MOST_BUCKETS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,18 +67,31 @@ class Scratch:
         return self.stored(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
     def in_place(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as a table bucketed by the task that wrote a row (column part) and return it.
+        """Write df as a table with a bucket for each task that writes (column part) and return it.
 
-        Each task writes one file and nothing is shuffled. Joins on part and further columns
-        under together() move the other side to these rows; drop_table() deletes the table.
+        Nothing is shuffled and each task writes one file. Joins on part, see home(), and
+        further columns under together() move the other side to these rows; drop_table()
+        deletes the table. Beyond MOST_BUCKETS tasks some share a bucket.
         """
-        n = 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = max(1, min(df.rdd.getNumPartitions(), MOST_BUCKETS))
+        bucket = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+        spread = self.spark.range(30 * n + 1000).groupBy(bucket.alias("b")).agg(F.min("id").cast("int").alias("v")).collect()  # a number for each bucket
+        numbers = dict.fromkeys(range(n), 0) | {r["b"]: r["v"] for r in spread}
+        self.spread = F.lit([numbers[k] for k in range(n)]), n
         table = f"{name}_{uuid.uuid4().hex}"
-        put = df.withColumn("part", F.spark_partition_id()).write.option("path", self.sub(name)).option("compression", "zstd")
-        put.bucketBy(n, "part").saveAsTable(table)
+        put = df.withColumn("part", self.bucket_of(F.spark_partition_id())).write.option("path", self.sub(name)).option("compression", "zstd")
         self.tables[name] = table
+        put.bucketBy(n, "part").saveAsTable(table)
         return self.spark.table(table)
 
+    def bucket_of(self, task: Column) -> Column:
+        values, n = self.spread
+        return F.element_at(values, (task % n + 1).cast("int"))
+
+    def home(self, uid: str = "uid") -> Column:
+        """The part of a row that the task which wrote it numbered by monotonically_increasing_id."""
+        return self.bucket_of(F.shiftright(uid, 33)).alias("part")
+
     @contextmanager
     def conf(self, **want: str):
         """While this holds, SQL settings (dots as __) have other values."""
@@ -95,8 +110,8 @@ class Scratch:
         return self.conf(execution__arrow__maxBytesPerBatch=size)
 
     def together(self):
-        """While this holds, a join on part and further columns needs both sides dealt by part alone; batches are bounded."""
-        return self.conf(requireAllClusterKeysForCoPartition="false", execution__arrow__maxBytesPerBatch="16m")
+        """While this holds, a join on part and further columns needs both sides dealt by part alone, into its buckets; batches are bounded."""
+        return self.conf(requireAllClusterKeysForCoPartition="false", execution__arrow__maxBytesPerBatch="16m", shuffle__partitions=str(self.spread[1]))
 
     def free(self) -> None:
         """Let the driver notice which shuffles nothing refers to any more; Spark then deletes their files."""
@@ -106,7 +121,7 @@ class Scratch:
             time.sleep(0.5)
 
     def drop_table(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {self.tables.pop(name)}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         self.drop(name)
 
     def drop(self, name: str) -> None:

@@ -233,7 +233,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.9, seed: int = SEED
     other rows linked directly, component_id is the smallest vec_id reachable. Equal vectors
     are one node with a multiplicity and are never paired with each other. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing, nor do rows
-    with a null vec_id. Repeated rows are linked with each other and are all kept.
+    with a null vec_id, which must be a whole number or cast to one. Repeated rows are
+    linked with each other and are all kept. Very long vectors only meet those of their own
+    length. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(embeddings.sparkSession)
     fine = valid(F.col("embedding")) & F.col("vec_id").isNotNull()

@@ -96,8 +96,8 @@ def classes(docs: DataFrame, chunk: int = CHUNK, fields=FIELDS) -> DataFrame:
     one of them; those that differ form classes of their own in further rounds, so a
     collision never merges texts. Of a class the row with the most code points in its text
     stays, then the smallest doc_id (null last); of rows that repeat a document exactly one
-    is kept. Empty texts are equal to each other. Other columns are ignored; an empty table
-    gives an empty result.
+    is kept. Empty texts are equal to each other; very long texts are hashed and compared
+    chunk by chunk. Other columns are ignored; an empty table gives an empty result.
     """
     rows, order = members_of(docs, Scratch(docs.sparkSession), chunk, fields), precedence()
     best = rows.groupBy("class").agg(F.min_by(F.struct("uid", "doc_id"), order).alias("best"), F.count("*").alias("group_size"))
@@ -113,8 +113,17 @@ def precedence() -> Column:
 
 def members_of(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, fields=FIELDS, row: str | None = None) -> DataFrame:
     """One row per row of docs: uid, row, doc_id, n_chars, sha, class (see classes); row is the column of that name."""
-    parts = scratch.in_place(chunks_of(docs, chunk, row), "chunks")
-    home = F.shiftright("uid", 33).cast("int").alias("part")  # the task that numbered a row wrote it
+    try:
+        parts = scratch.in_place(chunks_of(docs, chunk, row), "chunks")
+        prints, assigned = compared(parts, scratch, chunk, fields)
+    finally:
+        scratch.drop_table("chunks")
+    rows = prints.join(assigned.withColumnRenamed("rep", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
+    return rows.select("uid", "row", "doc_id", "n_chars", "sha", "class")
+
+
+def compared(parts: DataFrame, scratch: Scratch, chunk: int, fields) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the documents of chunks `parts`, and (uid, rep) of those that equal an earlier one chunk by chunk."""
     prints = scratch.stored(fingerprints(parts, chunk, fields), "prints")
     key = ["n_bytes", "f0", "f1"]
     open_, assigned, k = prints.select("uid", *key), None, 0
@@ -124,17 +133,15 @@ def members_of(docs: DataFrame, scratch: Scratch, chunk: int = CHUNK, fields=FIE
         members = scratch.stored(open_.join(reps, key).select("uid", "rep"), f"members{k}")
         data = parts.select("part", "uid", "idx", "chunk")
         with scratch.together():
-            theirs = data.join(members.where("uid != rep").select(home, "uid", "rep"), ["part", "uid"]).select("uid", "rep", "idx", "chunk")
-            first = data.join(members.select(F.col("rep").alias("uid")).distinct().select(home, "uid"), ["part", "uid"]).select(F.col("uid").alias("rep"), "idx", F.col("chunk").alias("want"))
+            theirs = data.join(members.where("uid != rep").select(scratch.home(), "uid", "rep"), ["part", "uid"]).select("uid", "rep", "idx", "chunk")
+            first = data.join(members.select(F.col("rep").alias("uid")).distinct().select(scratch.home(), "uid"), ["part", "uid"]).select(F.col("uid").alias("rep"), "idx", F.col("chunk").alias("want"))
             odd = scratch.stored(theirs.join(first, ["rep", "idx"]).where("chunk != want").select("uid").distinct(), f"odd{k}")
         same = members.join(odd, "uid", "left_anti")
         assigned = same if assigned is None else assigned.union(same)
         if odd.isEmpty():
             break
         open_ = prints.join(odd, "uid", "left_semi").select("uid", *key)
-    scratch.drop_table("chunks")
-    rows = prints.join(assigned.withColumnRenamed("rep", "class"), "uid", "left").withColumn("class", F.coalesce("class", "uid"))
-    return rows.select("uid", "row", "doc_id", "n_chars", "sha", "class")
+    return prints, assigned
 
 
 def exact_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:

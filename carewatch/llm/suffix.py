@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -301,11 +301,11 @@ def direct(uid: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray
 SPANS = "uid long, doc long, start int, size int, ctx binary"
 
 
-def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sort_contexts(batches: Iterator[pa.RecordBatch], most: int = SORTED) -> Iterator[pa.RecordBatch]:
     """Repeated spans from contexts sorted by key: those of a few groups are suffix-sorted together.
 
     Of equal contexts all but those in the smallest document repeat; one of each takes part
-    in the sort. A group of more than SORTED bytes isn't held: its contexts go on as they are.
+    in the sort. A group of more than half of `most` bytes isn't held: its contexts go on as they are.
     """
     names = ["uid", "doc", "start", "size", "ctx"]
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -346,7 +346,7 @@ def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             if key != now:
                 close_group()
-                if ready_size >= SORTED // 2:
+                if ready_size >= most // 2:
                     spans()
                     ready, ready_size = [], 0
                 now, large = key, False
@@ -364,7 +364,7 @@ def sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             else:
                 known.extend((u, held[0], s, size, None) for u, s in held[1])
                 group[ctx] = [doc, [(uid, start)]]
-            if group_size > SORTED // 2:
+            if group_size > most // 2:
                 large = True
                 known.extend((u, d, s, len(c), c) for c, (d, rows) in group.items() for u, s in rows)
                 group, group_size = {}, 0
@@ -389,29 +389,28 @@ def large_groups(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 # ---- the operator ------------------------------------------------------------------------
 
 
-def segmented(docs: DataFrame) -> DataFrame:
+def segmented(docs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(uid, doc, doc_id, start, n_bytes, data): texts as UTF-8, long ones in segments that overlap by LENGTH - 1 bytes."""
     data = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("doc"), F.octet_length(data).alias("n_bytes"), data.alias("all"))
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(SEGMENT))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n_bytes") - 1, F.lit(0)), F.lit(segment))
     rows = rows.select("*", F.explode(starts).alias("start"))
-    return rows.select("uid", "doc", "doc_id", "start", "n_bytes", F.substring("all", F.col("start") + 1, F.lit(SEGMENT + LENGTH - 1)).alias("data"))
+    return rows.select("uid", "doc", "doc_id", "start", "n_bytes", F.substring("all", F.col("start") + 1, F.lit(segment + LENGTH - 1)).alias("data"))
 
 
-def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts and digest of each document from its segments in order; the spans come with every segment."""
+def cut(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> Iterator[pa.RecordBatch]:
+    """Counts and digest of each document from its segments in order, each with the spans that begin in it."""
     state = id_type = None
     rows: list = []
 
-    def done():
-        doc_id, n, removed, spans, digest, _ = state
-        rows.append((doc_id, n, removed, spans, digest.hexdigest()))
-
     def frame():
         cols = list(zip(*rows))
         rows.clear()
         return pa.record_batch([pa.array(c, type=t) for c, t in zip(cols, (id_type, pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
+    def done():
+        rows.append((*state[:4], state[4].hexdigest()))
+
     for batch in batches:
         start, n_bytes = column_of(batch, "start"), column_of(batch, "n_bytes")
         id_type = batch.schema.field("doc_id").type
@@ -421,16 +420,18 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if start[k] == 0:
                 if state:
                     done()
-                runs = merged(low[k].values.to_numpy(), high[k].values.to_numpy()) if low[k].is_valid else np.zeros((0, 2), dtype=np.int64)
-                state = (ids[k], int(n_bytes[k]), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), hashlib.sha256(), runs)
+                state, end = [ids[k], int(n_bytes[k]), 0, 0, hashlib.sha256()], -1  # end: of the last run so far
             piece = data[k].as_buffer()
-            piece = memoryview(piece)[:SEGMENT] if piece else b""
-            at, base, digest = 0, int(start[k]), state[4]
-            for a, b in (state[5] - base).tolist():
-                if b > at and a < len(piece):
-                    digest.update(piece[at : max(a, at)])
-                    at = max(at, min(b, len(piece)))
-            digest.update(piece[at:])
+            piece, base = memoryview(piece)[:segment] if piece else b"", int(start[k])
+            at = min(max(end - base, 0), len(piece))
+            for a, b in merged(low[k].values.to_numpy(), high[k].values.to_numpy()).tolist() if low[k].is_valid else ():
+                state[3] += a > end
+                state[2] += b - a if a > end else max(b - end, 0)
+                end = max(end, b)
+                if b - base > at:
+                    state[4].update(piece[at : max(a - base, at)])
+                    at = max(at, min(b - base, len(piece)))
+            state[4].update(piece[at:])
         if len(rows) >= 5000:
             yield frame()
     if state:
@@ -447,34 +448,33 @@ def merged(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.stack([low[first], high[np.r_[first[1:], len(low)] - 1]], axis=1)
 
 
-def home() -> Column:
-    """The task that numbered a row, and wrote it."""
-    return F.shiftright("uid", 33).cast("int").alias("part")
-
-
-def repeated_spans(texts: DataFrame, scratch: Scratch) -> DataFrame:
+def repeated_spans(texts: DataFrame, scratch: Scratch, segment: int = SEGMENT, most: int = SORTED) -> DataFrame:
     """(part, uid, start, size) of every span of `texts` that repeats a smaller document's; they overlap and touch."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     with scratch.together():
         posted = texts.select("uid", "start", "data").mapInArrow(post_anchors, POSTED).repartition(n, "key").sortWithinPartitions("key")
         shared = scratch.stored(posted.mapInArrow(shared_anchors, "uid long, pos int"), "shared")
         scratch.free()
-        shared = shared.select(home(), "uid", "pos").groupBy("part", "uid").agg(F.collect_list("pos").alias("found"))
-        rows = texts.select("part", "uid", "doc", "start", "data").hint("merge").join(shared, ["part", "uid"]).drop("part")
+        here = F.col("pos") - F.col("pos") % segment  # and the segment before, which reaches LENGTH - 1 bytes further
+        both = F.when((F.col("pos") >= segment) & (F.col("pos") % segment < LENGTH), F.array(here, here - segment)).otherwise(F.array(here))
+        shared = shared.select(scratch.home(), "uid", "pos", F.explode(both).alias("start")).groupBy("part", "uid", "start").agg(F.collect_list("pos").alias("found"))
+        rows = texts.select("part", "uid", "doc", "start", "data").hint("merge").join(shared, ["part", "uid", "start"]).drop("part")
         ctx = rows.mapInArrow(contexts, CONTEXT).repartition(n, "key").sortWithinPartitions("key")
-        found = scratch.stored(ctx.mapInArrow(sort_contexts, SPANS), "spans")
+        found = scratch.stored(ctx.mapInArrow(lambda batches: sort_contexts(batches, most), SPANS), "spans")
         scratch.free()
         scratch.drop("shared")
-    return found.where("ctx is null").select(home(), "uid", "start", "size").union(large_groups(found.where("ctx is not null")).select(home(), "uid", "start", "size"))
+    return found.where("ctx is null").select(scratch.home(), "uid", "start", "size").union(large_groups(found.where("ctx is not null")).select(scratch.home(), "uid", "start", "size"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, segment: int = SEGMENT, most: int = SORTED) -> DataFrame:
     """One row per row of docs(doc_id, text, ...): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a
     smaller doc_id, both judged on the input. Null text counts as empty; texts shorter than
-    LENGTH keep all. Rows that share a doc_id are one document, a null doc_id is larger
-    than all and such rows don't repeat each other. Other columns are ignored.
+    LENGTH keep all; long ones are read in segments, which the result doesn't depend on.
+    doc_id must be a whole number or cast to one, which gives the order. Rows that share a
+    doc_id are one document, a null doc_id is larger than all and such rows don't repeat
+    each other. Other columns are ignored; an empty table gives an empty result.
 
     Texts are stored once, where they were read, and what is found is moved to them.
     Anchors, one in about 14 bytes, first find the places that may repeat: equal windows
@@ -484,15 +484,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     before the shuffle, so a passage of very many documents stays small.
     """
     scratch = Scratch(docs.sparkSession)
-    texts = scratch.in_place(segmented(docs), "texts")
-    spans = repeated_spans(texts, scratch)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    with scratch.together():
-        runs = spans.groupBy("part", "uid").agg(F.collect_list("start").alias("low"), F.collect_list(F.col("start") + F.col("size")).alias("high"))
-        both = texts.select("part", "uid", "doc_id", "start", "n_bytes", "data").hint("merge").join(runs, ["part", "uid"], "left").sortWithinPartitions("part", "uid", "start")
-        out = scratch.stored(both.drop("part").mapInArrow(cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "out")
-    scratch.drop_table("texts")
-    return out
+    try:
+        texts = scratch.in_place(segmented(docs, segment), "texts")
+        spans = repeated_spans(texts, scratch, segment, most)
+        with scratch.together():
+            begin = (F.col("low") - F.col("low") % segment).alias("start")
+            spans = spans.select("part", "uid", F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high"))
+            runs = spans.groupBy("part", "uid", begin).agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
+            both = texts.select("part", "uid", "doc_id", "start", "n_bytes", "data").hint("merge").join(runs, ["part", "uid", "start"], "left").sortWithinPartitions("part", "uid", "start")
+            schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+            return scratch.stored(both.drop("part").mapInArrow(lambda batches: cut(batches, segment), schema), "out")
+    finally:
+        scratch.drop_table("texts")
 
 
 op5_suffix = without_repeats

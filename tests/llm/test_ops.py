@@ -118,6 +118,19 @@ def test_warc_reader_survives_damage():
     assert one["payload"] == b"payload 7" * 50
 
 
+def test_warc_long_headers_and_blocks_without_http_header():
+    import io
+
+    long = warc.record_bytes("u" * 2_500_000, "urn:page:1", "response", None, b"p", "2026-01-01T00:00:00Z")
+    got = list(warc.records_of(io.BytesIO(long), False))
+    assert [(r["record_id"], r["status"], r["payload_bytes"]) for r in got] == [("urn:page:1", "ok", 1)] and len(got[0]["target_uri"]) == 2_500_000
+    block = b"x" * (3 << 20)
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    pack = zlib.compressobj(wbits=31)
+    got = list(warc.records_of(io.BytesIO(pack.compress(head + block + b"\r\n\r\n") + pack.flush()), True))
+    assert got[0]["status"] == "ok" and got[0]["payload"] == block
+
+
 # ---- 2 ----
 
 
@@ -326,12 +339,36 @@ def suffix_want(rows):
     return out
 
 
-def test_suffix(docs, data, empty, monkeypatch):
+def test_suffix(docs, data, empty):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.without_repeats(docs).collect()}
     assert got == suffix_want(data.items())
     assert suffix.without_repeats(empty).count() == 0
 
 
+def test_suffix_with_small_segments_and_groups(docs, data):
+    """Spans over borders of segments, and groups of contexts that are taken apart, change nothing."""
+    for segment, most in ((256, suffix.SORTED), (suffix.SEGMENT, 300), (1000, 2000)):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.without_repeats(docs, segment, most).collect()}
+        assert got == suffix_want(data.items())
+
+
+def test_a_failing_run_leaves_no_table(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    bad = docs.withColumn("text", F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("boom")).cast("string")))
+    for run in (suffix.without_repeats, exact.classes):
+        with pytest.raises(Exception, match="boom"):
+            run(bad).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_each_writing_task_has_a_bucket(spark):
+    scratch = Scratch(spark)
+    rows = spark.range(300, numPartitions=37).withColumn("uid", F.monotonically_increasing_id())
+    got = scratch.in_place(rows, "rows").select("part", scratch.home().alias("h"), F.expr("pmod(hash(part), 37)").alias("b")).distinct().collect()
+    assert len(got) == len({r.b for r in got}) == 37 and all(r.part == r.h for r in got)
+    scratch.drop_table("rows")
+
+
 def test_suffix_repeated_and_null_ids(spark):
     p = "the quick brown fox jumps over the lazy dog and runs away from it"
     rows = [(3, p), (3, p), (None, p + "!"), (None, p), (9, "z" + p), (1, None)]
@@ -361,14 +398,13 @@ def test_suffix_array():
         assert cut == sorted(cut)
 
 
-def test_segments(spark, monkeypatch):
+def test_segments(spark):
     """Long texts go in segments; the result doesn't depend on where they are cut."""
     rng = random.Random(8)
     long = "".join(rng.choice("abcdef ") for _ in range(3000))
     rows = [(1, long), (2, long[100:2500] + "x" + long[2400:]), (3, "é" * 700)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(suffix, "SEGMENT", 256)
-    parts = suffix.segmented(frame).orderBy("uid", "start").collect()
+    parts = suffix.segmented(frame, 256).orderBy("uid", "start").collect()
     whole = {}
     for r in parts:
         whole[r.doc_id] = whole.get(r.doc_id, b"") + bytes(r.data[:256])
@@ -617,7 +653,32 @@ def test_extra_columns_with_clashing_names(spark, docs):
         assert out.count() > 0 and out.where(" or ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0
     assert suffix.without_repeats(wide).count() == wide.count() and exact.classes(wide).count() == wide.count()
     assert "lang_pred" in langid.predicted(wide, langid.fit(wide)).columns
-    assert simhash.op3_simhash(wide).count() == mixing.mix(wide).count() == wide.count()
+    assert simhash.op3_simhash(wide).count() == mixing.mix(wide).count() == bpe.op6_bpe(spark, wide).count() == wide.count()
+    assert quality.op2_quality(wide, labels).count() == langid.op9_langid(wide).count() == wide.count()
+    clash = lambda df, names: df.select("*", *(F.lit(n).alias(n) for n in names))
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (None, None, None)], "page_id long, url string, html string")
+    assert warc.op1_warc(spark, clash(pages, ["key", "first", "n", "path", "payload", "record_id"])).count() == 3
+    turns = spark.createDataFrame([(1, 1, "user", "a"), (None, None, None, None)], "conv_id long, turn long, role string, text string")
+    assert chat.op10_chat(clash(turns, ["seq", "message", "kind", "position", "turns", "formatted"])).count() == 3
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (None, None)], "vec_id long, embedding array<double>")
+    assert embdup.op8_embdup(clash(vectors, ["v", "key", "node", "size", "least", "a", "b", "links"])).count() == 3
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, docs, tmp_path):
+    import corpus_pipeline as p
+
+    wide = docs.unionByName(docs.limit(5)).select(F.when(F.col("doc_id") % 11 != 0, F.col("doc_id")).alias("doc_id"), "text", "lang", "source", "n_chars", F.lit("x").alias("_row"), F.lit("y").alias("taken"))
+    labels = spark.createDataFrame([(7 * k % 1009, k % 2) for k in range(40)], "doc_id long, quality int")
+    for name, frame, known in (("full", wide, labels), ("few", wide, labels.limit(3)), ("none", wide.limit(0), labels.limit(0))):
+        frame.write.parquet(str(tmp_path / name / "documents.parquet"))
+        known.write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = p.run(spark, str(tmp_path / name))
+        assert out.where("not decodes").count() == 0 and (out.count() > 0) == (name != "none")
+
+
+def test_empty_tables_give_empty_results(spark, empty):
+    assert bpe.op6_bpe(spark, empty).count() == 0 and langid.op9_langid(empty).count() == 0
+    assert quality.op2_quality(empty, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
 def test_native_operators_use_no_python(spark, docs):
