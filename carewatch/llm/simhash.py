@@ -18,6 +18,8 @@ SEED = 42
 STEP = 1 << 16
 #: Byte positions in the key of a posting, and members above which a list is taken apart by two more positions.
 CHOSEN, LONG_LIST = 4, 16
+#: Fingerprints that a task makes postings of, about: there are 70 of each.
+TASK_PRINTS = 1 << 14
 
 
 def simhash(text: str | None, words: int = 3) -> int:
@@ -102,13 +104,15 @@ def links(prints: DataFrame, scratch: Scratch, max_bits: int = 2, long_list: int
         raise ValueError("max_bits must be 1 or 2")
     fp = F.col("fp")
     mask = lambda n: F.explode(F.array(*map(F.lit, masks(n)))).alias("mask")
-    posted = prints.select("fp", mask(CHOSEN)).select("fp", F.xxhash64("mask", fp.bitwiseAND(F.col("mask"))).alias("key"))
+    prints = scratch.stored(prints.select("fp"), "fingerprints")
+    tasks = max(1, -(-prints.count() // TASK_PRINTS))  # a number of its own: few bytes become many rows
+    posted = prints.repartition(tasks, "fp").select("fp", mask(CHOSEN)).select("fp", F.xxhash64("mask", fp.bitwiseAND(F.col("mask"))).alias("key"))
     sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = scratch.stored(posted.join(sizes, "key"), "lists")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     tally = paired(lists.where(F.col("n") <= long_list), "key").groupBy("a", "b").agg(F.count("*").alias("shared"))
     found = tally.where(F.col("shared") >= comb(8 - max_bits, CHOSEN)).where(near).select("a", "b")
-    apart = lists.where(F.col("n") > long_list).select("fp").distinct().select("fp", mask(8 - 2)).select("fp", "mask", fp.bitwiseAND(F.col("mask")).alias("value"))
+    apart = lists.where(F.col("n") > long_list).select("fp").distinct().repartition(tasks, "fp").select("fp", mask(8 - 2)).select("fp", "mask", fp.bitwiseAND(F.col("mask")).alias("value"))
     sizes = apart.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
     finer = scratch.stored(apart.join(sizes, ["mask", "value"]), "finer")
     short = paired(finer.where(F.col("n") <= long_list), "mask", "value").where(near).distinct()
