@@ -51,11 +51,11 @@ def grams(text: str, dim: int = DIM) -> np.ndarray:
 
 
 class Model:
-    """family: (names, weights, biases) of a multinomial logistic regression; pairs: (a, b) -> (weights, bias), positive for b."""
+    """sampled: documents learned from by language; family: (names, weights, biases) of a multinomial logistic regression; pairs: (a, b) -> (weights, bias), positive for b."""
 
-    def __init__(self, langs: list[str], family, pairs: dict):
-        self.langs, self.family, self.pairs = langs, family, pairs
-        self.members = {f: [x for x in langs if family_of(x) == f] for f in family[0]}
+    def __init__(self, sampled: dict[str, int], family, pairs: dict):
+        self.sampled, self.langs, self.family, self.pairs = sampled, sorted(sampled), family, pairs
+        self.members = {f: [x for x in self.langs if family_of(x) == f] for f in family[0]}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: the family's probability times the mean certainty of the winner's duels."""
@@ -82,7 +82,7 @@ class Model:
 
 
 def fit(docs: DataFrame, may_learn=None, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on about fit_rows documents of each language of docs(doc_id, text, lang), chosen by hashes of doc_id.
+    """Fit on about fit_rows documents of each language of docs(doc_id, text, lang), chosen by hashes of doc_id and text.
 
     Rows without a text, a letter or a language are left out. The bounded sample's gram
     vectors are stored once, in several tasks, and all models are fitted by Spark; a language
@@ -94,7 +94,7 @@ def fit(docs: DataFrame, may_learn=None, fit_rows: int = FIT_ROWS) -> Model:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known if may_learn is None else known.where(may_learn)
     shares = known.groupBy("lang").agg((F.lit(fit_rows) / F.count("*")).alias("_share"))
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30)) / (1 << 30)
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1 << 30)) / (1 << 30)
 
     @F.pandas_udf("array<double>")
     def vector(texts: pd.Series) -> pd.Series:
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, may_learn=None, fit_rows: int = FIT_ROWS) -> Model:
             got = LinearSVC(regParam=1e-4, maxIter=STEPS).fit(rows)
             pairs[a, b] = (got.coefficients.toArray(), float(got.intercept))
     sample.unpersist()
-    return Model(langs, family, pairs)
+    return Model(sizes, family, pairs)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:

@@ -600,6 +600,16 @@ def test_langid_learns_every_language(spark):
     assert model.langs == names and all(model.predict(words[x])[0] == x for x in names[-5:])
 
 
+def test_langid_samples_rows_without_ids(spark):
+    """Rows that lack a doc_id are sampled like others, not all or none of them."""
+    rows = [(None, f"{x * (k % 9 + 1)} text {k}", x, "s", 1) for x in ("aa", "bb") for k in range(400)]
+    frame = spark.createDataFrame(rows, DOCS)
+    for fit_rows in (40, 200, 360):
+        model = langid.fit(frame, fit_rows=fit_rows)
+        assert model.langs == ["aa", "bb"] and all(fit_rows / 2 < n < fit_rows * 2 for n in model.sampled.values())
+        assert max(model.sampled.values()) < 400
+
+
 def test_langid_edges(spark, docs, empty):
     model = langid.fit(docs)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predicted(docs, model).collect()}
