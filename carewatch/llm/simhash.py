@@ -20,8 +20,10 @@ SEED = 42
 STEP = 1 << 16
 #: Byte positions in the key of a posting, and members above which a list is taken apart by two more positions.
 CHOSEN, LONG_LIST = 4, 16
-#: A wide fingerprint: lanes of 64 bits, the most bits in which near copies differ, lists it is posted to, members compared at a time.
-LANES, WIDE_BITS, KEYS, BLOCK = 4, 28, 128, 1024
+#: A wide fingerprint: lanes of 64 bits, the most bits in which near copies differ, lists it is posted to.
+LANES, WIDE_BITS, KEYS = 4, 28, 128
+#: Members of a list of wide fingerprints whose pairs are written out, and members of longer ones compared at a time.
+SHORT_LIST, BLOCK = 4, 1024
 LANE_NAMES = [f"lane{k}" for k in range(LANES)]
 #: Fingerprints that a task makes postings of, about: there are 70 of each.
 TASK_PRINTS = 1 << 14
@@ -203,7 +205,11 @@ def wide_masks(keys: int) -> list[tuple[int, ...]]:
 
 
 def linked_in_block(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
-    """Edges of a spanning forest of the pairs at max_bits or fewer among the rows (id, lanes)."""
+    """Edges of a spanning forest of the pairs at max_bits or fewer among the rows (id, lanes).
+
+    Rows are taken by id, so lists that share members mostly give the same edges.
+    """
+    pdf = pdf.sort_values("id")
     ids, label = pdf["id"].to_numpy(), np.arange(len(pdf))
     fps = pdf[LANE_NAMES].to_numpy().view(np.uint64)
     edges = []
@@ -216,7 +222,7 @@ def linked_in_block(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
-def wide_links(prints: DataFrame, scratch: Scratch, max_bits: int = WIDE_BITS, keys: int = KEYS, long_list: int = LONG_LIST, block: int = BLOCK) -> DataFrame:
+def wide_links(prints: DataFrame, scratch: Scratch, max_bits: int = WIDE_BITS, keys: int = KEYS, long_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) among prints(id, lanes), distinct wide fingerprints, whose components are those of the pairs found.
 
     A pair within max_bits shares at least 32 - max_bits of the 32 positional bytes, four by
