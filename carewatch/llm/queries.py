@@ -12,6 +12,7 @@ from .mixing import op7_mix
 from .quality import op2_quality
 from .simhash import op3_simhash
 from .suffix import op5_suffix
+from .urlfilter import OP11_SQL, op11_urls
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_embdup": lambda spark, d: op8_embdup(table(spark, d, "embeddings")),
     "op9_langid": lambda spark, d: op9_langid(table(spark, d, "documents")),
     "op10_chat": lambda spark, d: op10_chat(table(spark, d, "conversations")),
+    "op11_urls": lambda spark, d: op11_urls(table(spark, d, "pages")),
 }
-SQL = {"op1_warc": OP1_SQL, "op4_exact": OP4_SQL, "op10_chat": OP10_SQL}
+SQL = {"op1_warc": OP1_SQL, "op4_exact": OP4_SQL, "op10_chat": OP10_SQL, "op11_urls": OP11_SQL}
