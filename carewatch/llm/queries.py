@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op6_bpe
 from .chat import OP10_SQL, op10_chat
+from .codes import OP12_SQL, op12_codes
 from .common import table
 from .embdup import op8_embdup
 from .exact import OP4_SQL, classes
@@ -12,6 +13,7 @@ from .mixing import op7_mix
 from .quality import op2_quality
 from .simhash import op3_simhash
 from .suffix import op5_suffix
+from .trie import OP13_SQL, op13_trie
 from .urlfilter import OP11_SQL, op11_urls
 from .warc import OP1_SQL, op1_warc
 
@@ -27,5 +29,7 @@ QUERIES = {
     "op9_langid": lambda spark, d: op9_langid(table(spark, d, "documents")),
     "op10_chat": lambda spark, d: op10_chat(table(spark, d, "conversations")),
     "op11_urls": lambda spark, d: op11_urls(table(spark, d, "pages")),
+    "op12_codes": lambda spark, d: op12_codes(table(spark, d, "embeddings")),
+    "op13_trie": lambda spark, d: op13_trie(table(spark, d, "conversations")),
 }
-SQL = {"op1_warc": OP1_SQL, "op4_exact": OP4_SQL, "op10_chat": OP10_SQL, "op11_urls": OP11_SQL}
+SQL = {"op1_warc": OP1_SQL, "op4_exact": OP4_SQL, "op10_chat": OP10_SQL, "op11_urls": OP11_SQL, "op12_codes": OP12_SQL, "op13_trie": OP13_SQL}
