@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 
 from .lexicon import NEGATIONS, Term
 
-SPAN = "struct<term:string,category:string,weight:double,start:int,end:int>"
+FLAT = "struct<start:int,end:int,term:string,category:string,weight:double>"
+DETECTION = "struct<term:string,category:string,weight:double,start:int,end:int,negated:boolean,context:string,sentence:string>"
+#: Elements of an array that are summed up at a time; code points of a block of text.
+CHUNK, BLOCK = 128, 256
 
 
 def quoted(word: str) -> str:
@@ -23,30 +27,78 @@ def whole_words(terms: list[str]) -> str:
     return r"(?iU)(?<!\w)(?:" + "|".join(map(quoted, longest)) + r")(?!\w)"
 
 
-def spans(text: Column, pattern: str, category: str, weight: float) -> Column:
-    """All matches with their offsets (code points, end exclusive): the matches interleave with the pieces between them."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once: inside a function of an array every mention of an expression is."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def add(acc, pair):
-        begin = acc["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["hit"])
-        one = F.struct(pair["hit"].alias("term"), F.lit(category).alias("category"), F.lit(weight).alias("weight"), begin.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
-    return F.aggregate(pairs, start, add, lambda acc: acc["found"])
+def totals(numbers: Column) -> Column:
+    """Running sums of an array<int>, chunk by chunk: an array can only grow by a copy."""
 
+    def within(chunk: Column, before: Column) -> Column:
+        return F.slice(F.aggregate(chunk, F.array(before), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), 2, F.size(chunk))
 
-def without_overlaps(found: Column) -> Column:
-    """Spans in order of precedence without those that overlap an earlier one."""
-    none = F.array().cast(f"array<{SPAN}>")
-    free = lambda acc, s: ~F.exists(acc, lambda a: (a["start"] < s["end"]) & (s["start"] < a["end"]))
-    return F.aggregate(found, none, lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
+    def over(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, n: a + n))
+        before = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(chunks, F.slice(before, 1, F.size(chunks)), within))
+
+    last = lambda a: F.greatest(F.lit(0), F.ceil(F.size(a) / CHUNK).cast("int") - 1)
+    chunks = lambda a: F.transform(F.sequence(F.lit(0), last(a)), lambda k: F.slice(a, k * CHUNK + 1, CHUNK))
+    return let(numbers, lambda a: F.when(F.size(a) <= CHUNK, within(a, F.lit(0))).otherwise(let(chunks(a), over)))
+
+
+def place_of(value: Column, ordered: Column, key: Callable[[Column], Column]) -> Column:
+    """How many elements of an array in order of key are at or below a value, by bisection."""
+    steps = F.transform(F.sequence(F.ceil(F.log2(F.size(ordered) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(key(F.try_element_at(ordered, at + s)) <= value, s).otherwise(0))
+
+
+def spans(text: Column, groups: list[tuple[str, float, str]]) -> Column:
+    """For each (category, weight, pattern) its matches in order, with offsets (code points, end exclusive): an array of arrays.
+
+    Matches interleave with the pieces between them, whose lengths add up to the offsets.
+    """
+    none = F.array().cast(f"array<{FLAT}>")
+
+    def cut(pattern: str, category: str, weight: float) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return let(hits, lambda h: F.struct(h.alias("hits"), F.when(F.size(h) > 0, F.split(text, pattern, -1)).alias("gaps"), F.lit(category).alias("category"), F.lit(weight).alias("weight")))
+
+    def placed(of: Column) -> Column:
+        ends = totals(F.zip_with(F.slice(of["gaps"], 1, F.size(of["hits"])), of["hits"], lambda g, h: F.length(g) + F.length(h)))
+        whole = lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("term"), of["category"].alias("category"), of["weight"].alias("weight"))
+        return F.when(F.size(of["hits"]) == 0, none).otherwise(F.zip_with(of["hits"], ends, whole))
+
+    return F.transform(F.array(*(cut(p, c, w) for c, w, p in groups)), placed)
+
+
+def without_overlaps(lists: Column) -> Column:
+    """Spans of several lists without those that overlap one of an earlier list, in order of their starts.
+
+    Spans of one list don't overlap each other and stand in order. So what is kept never
+    overlaps, and of all kept only the last that begins at or before a span and the next
+    can overlap it: two places that bisection finds.
+    """
+
+    def free(kept: Column, s: Column) -> Column:
+        def apart(at: Column) -> Column:
+            before, after = F.try_element_at(kept, at), F.try_element_at(kept, at + 1)
+            return F.coalesce(F.when(at > 0, before["end"] <= s["start"]), F.lit(True)) & F.coalesce(after["start"] >= s["end"], F.lit(True))
+
+        return let(place_of(s["start"], kept, lambda k: k["start"]), apart)
+
+    def more(kept: Column, some: Column) -> Column:
+        added = lambda k: F.when(F.size(some) == 0, k).when(F.size(k) == 0, some).otherwise(F.sort_array(F.concat(k, F.filter(some, lambda s: free(k, s)))))
+        return let(kept, added)
+
+    return F.aggregate(lists, F.array().cast(f"array<{FLAT}>"), more)
 
 
 def negation_pattern(cues: list[str]) -> str:
-    return r"(?diU)\b(?:" + "|".join(map(quoted, sorted(cues, key=len, reverse=True))) + r")\b[^.!?]{0,100}$"
+    """A cue with at most 100 characters of the same sentence after it; a blank in a cue is any white space."""
+    longest = sorted(cues, key=lambda c: (-len(c), c))
+    return r"(?diU)\b(?:" + "|".join(quoted(c).replace(" ", r"\s+") for c in longest) + r")\b[^.!?]{0,100}$"
 
 
 def trimmed(text: Column) -> Column:
@@ -62,13 +114,37 @@ def context(text: Column, start: Column, end: Column, window: int = 120) -> Colu
     return trimmed(F.substring(text, first + 1, end + window - first))
 
 
-def sentence(text: Column, start: Column, end: Column, compat: bool = False) -> Column:
-    """The sentence around a hit, up to its closing sign. compat keeps the sign that closed the one before."""
-    front = F.substring(text, F.lit(1), start)
-    head = F.regexp_replace(front, r"(?s)^.*[.!?\n]", "")  # greedy: found from the end
-    head = F.concat(F.regexp_extract(front, r"(?s)^.*([.!?\n])", 1), head) if compat else head
-    tail = F.regexp_extract(F.substr(text, end + 1), r"(?s)^([^.!?\n]*[.!?\n]?)", 1)
-    return trimmed(F.concat(head, F.substring(text, start + 1, end - start), tail))
+def blocks_of(text: Column) -> Column:
+    """text in blocks of BLOCK code points: a part of a long text is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def part(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive) of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.greatest(F.lit(0), F.floor((end - 1) / BLOCK).cast("int") - first + 1))
+    return F.substring(F.array_join(some, ""), start - first * BLOCK + 1, F.greatest(F.lit(0), end - start))
+
+
+def borders_of(text: Column) -> Column:
+    """Offsets after each sign that closes a sentence, in order."""
+    return let(F.split(text, r"[.!?\n]", -1), lambda pieces: totals(F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p) + 1)))
+
+
+def sentence(blocks: Column, borders: Column, length: Column, start: Column, end: Column, compat: bool = False) -> Column:
+    """The sentence around a hit of a text in blocks, up to its closing sign. compat keeps the sign that closed the one before.
+
+    Both ends are found among the borders by bisection.
+    """
+    after = lambda x: place_of(x, borders, lambda b: b)
+
+    def around(at: Column) -> Column:
+        left = F.when(at > 0, F.try_element_at(borders, at) - int(compat)).otherwise(0)
+        near = F.coalesce(F.try_element_at(borders, at + 1), length)
+        right = F.when(near > end, near).otherwise(F.coalesce(F.try_element_at(borders, after(end) + 1), length))  # a sign within the hit
+        return trimmed(part(blocks, left, right))
+
+    return let(after(start), around)
 
 
 def detections(text: Column, lexicon: list[Term], cues: list[str] = NEGATIONS, window: int = 120, compat: bool = False) -> Column:
@@ -79,23 +155,37 @@ def detections(text: Column, lexicon: list[Term], cues: list[str] = NEGATIONS, w
     """
     text = F.coalesce(text, F.lit(""))
     if not lexicon:
-        return F.array().cast("array<struct<term:string,category:string,weight:double,start:int,end:int,negated:boolean,context:string,sentence:string>>")
+        return F.array().cast(f"array<{DETECTION}>")
     groups: dict = {}
     for t in sorted(lexicon, key=lambda t: t.rank):
         groups.setdefault((t.rank, t.category, t.weight), []).append(t.term)
-    found = F.concat(*(spans(text, whole_words(terms), c, w) for (_, c, w), terms in groups.items()))
+    found = without_overlaps(spans(text, [(c, w, whole_words(terms)) for (_, c, w), terms in groups.items()]))
     any_term = text.rlike(whole_words([t.term for t in lexicon]))
-    kept = without_overlaps(F.when(any_term, found).otherwise(F.array().cast(f"array<{SPAN}>")))
+    return let(F.when(any_term, found).otherwise(F.array().cast(f"array<{FLAT}>")), lambda kept: described(text, kept, cues, window, compat))
+
+
+def described(text: Column, kept: Column, cues: list[str], window: int, compat: bool) -> Column:
+    """Spans in order of position with negation, context and sentence, heaviest first.
+
+    A text is cut into blocks and its borders are found once, so the work grows with the
+    text and its hits, not with their product. A sentence comes whole: in a text without
+    any closing sign it is the text.
+    """
     negated = negation_pattern(cues) if cues else r"(?!)"
+    names = ("term", "category", "weight", "start", "end", "negated", "context", "sentence")
 
-    def full(s):
+    def full(blocks: Column, borders: Column, length: Column, s: Column) -> Column:
+        start, end = s["start"], s["end"]
+        near = part(blocks, F.greatest(F.lit(0), start - window), F.least(length, end + window))
         return F.struct(
-            (-s["weight"]).alias("order"), s["start"].alias("start"), s["term"].alias("term"), s["category"].alias("category"), s["weight"].alias("weight"), s["end"].alias("end"),
-            before(text, s["start"], 120).rlike(negated).alias("negated"), context(text, s["start"], s["end"], window).alias("context"), sentence(text, s["start"], s["end"], compat).alias("sentence"),
+            (-s["weight"]).alias("order"), start.alias("start"), s["term"].alias("term"), s["category"].alias("category"), s["weight"].alias("weight"), end.alias("end"),
+            part(blocks, F.greatest(F.lit(0), start - 120), start).rlike(negated).alias("negated"), trimmed(near).alias("context"), sentence(blocks, borders, length, start, end, compat).alias("sentence"),
         )
 
-    names = ("term", "category", "weight", "start", "end", "negated", "context", "sentence")
-    return F.transform(F.sort_array(F.transform(kept, full)), lambda s: F.struct(*(s[n].alias(n) for n in names)))
+    once = F.struct(blocks_of(text).alias("blocks"), borders_of(text).alias("borders"), F.length(text).alias("length"))
+    rows = let(once, lambda t: F.transform(kept, lambda s: full(t["blocks"], t["borders"], t["length"], s)))
+    ordered = F.transform(F.sort_array(rows), lambda s: F.struct(*(s[n].alias(n) for n in names)))
+    return F.when(F.size(kept) == 0, F.array().cast(f"array<{DETECTION}>")).otherwise(ordered)
 
 
 def score(found: Column, include_negated: bool = False) -> Column:

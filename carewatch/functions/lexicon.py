@@ -49,7 +49,7 @@ SEVERITIES = [("CRÍTICO", 20.0, "3"), ("ALTO", 12.0, "2"), ("MODERADO", 6.0, "2
 STATUSES = ["pendente", "em análise", "notificado", "arquivado"]
 
 # Cues that negate a finding that follows.
-NEGATIONS = ["não", "nao", "jamais", "nunca", "nega", "negou", "descarta", "descartado", "afasta", "afastado", "exclui", "excluído", "ausente", "sem", "inexistente", "improvável"]
+NEGATIONS = ["não", "nao", "jamais", "nunca", "nega", "negou", "descarta", "descartado", "afasta", "afastado", "exclui", "excluído", "ausente", "sem", "inexistente", "improvável", "sem evidências", "sem indícios", "sem sinais"]
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import detect, rules, text
+from ..functions import automaton, detect, rules, text
 from ..functions.lexicon import SEVERITIES, STATUSES, TYPES, lexicon_table
 from ..operators import analytics as an
 from ..operators import embeddings as emb
@@ -292,6 +292,20 @@ def lexicon_match_join(spark, d):
     return detect.match_by_join(table(spark, d, "documents"), "doc_id", lexicon_table(spark, v.DEMO)).groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 
+VOCABULARY = "vocabulary AS (SELECT DISTINCT term, 'words of ' || length(term) % 3 AS category FROM tokens WHERE length(term) % 2 = 0)"
+
+
+@query("lexicon_match_automaton", "SELECT doc_id, category, count(*) AS n, sum(length(term))::BIGINT AS chars FROM tokens JOIN vocabulary USING (term) GROUP BY ALL", (TOKENS, VOCABULARY))
+def lexicon_match_automaton(spark, d):
+    """Hits per document and category of all words of even length that the documents have, by one automaton."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))).alias("term")).where(F.length("term") % 2 == 0).distinct()
+    rank = F.length("term") % 3
+    lexicon = words.select(F.concat(F.lit("words of "), rank).alias("category"), rank.alias("category_rank"), F.lit(1.0).alias("weight"), "term")
+    hits = automaton.detected(docs, lexicon, []).select("doc_id", F.explode("detections").alias("h"))
+    return hits.groupBy("doc_id", "h.category").agg(F.count("*").alias("n"), F.sum(F.length("h.term")).cast("long").alias("chars"))
+
+
 #: Hits of the one-word lexicon with their offsets: words and what stands between them, summed up.
 SIGN = r"[\p{L}\p{M}\p{N}_]"
 HITS = (

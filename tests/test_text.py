@@ -159,3 +159,91 @@ def test_flags_need_no_hints(spark):
     rows = spark.createDataFrame([(t,) for t in said], "t string")
     got = rows.select(text.pattern_flags(F.col("t")).alias("a"), text.pattern_flags(F.col("t"), hints={}).alias("b")).collect()
     assert all(r.a == r.b for r in got) and [any(r.a) for r in got] == [True] * 14 + [False] * 3
+
+
+def test_negation_cues_of_several_words(spark):
+    """A hit 95 characters after `sem evidências`; a cue's blank is any white space, and 101 characters are too far."""
+    said = [f"sem evidências{' ' + 'a' * (n - 2) + ' '}estupro" for n in (95, 100, 101)] + ["sem\n indícios " + "a" * 90 + " estupro", "sem sinaisx " + "a" * 95 + " estupro"]
+    got = [r.d[0].negated for r in spark.createDataFrame([(t,) for t in said], "text string").select(detect.detections(F.col("text"), starter_lexicon()).alias("d")).collect()]
+    assert got == [True, True, False, True, False]
+
+
+def test_a_dense_document_takes_little_time(spark):
+    """The work grows with the hits, not with their square."""
+    import time
+
+    rows = spark.createDataFrame([("Levou um soco e uma faca é. " * 10_000,)], "text string")
+    found = rows.select(detect.detections(F.col("text"), starter_lexicon()).alias("d")).select(F.size("d"), F.xxhash64("d"), F.col("d")[0]["sentence"], F.col("d")[19_999]["context"])
+    found._jdf.queryExecution().executedPlan()
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        r = found.first()
+        took.append(time.perf_counter() - began)
+    assert r[0] == 20_000 and r[2] == "Levou um soco e uma faca é." and r[3].count("soco") == 5
+    assert min(took) < 2 * 2  # 1.2 s on an idle machine
+
+
+def test_overlaps_equal_a_plain_loop(spark):
+    rng = random.Random(11)
+    lists = []
+    for _ in range(300):
+        some = []
+        for _ in range(rng.randint(0, 5)):
+            at, spans = 0, []
+            for _ in range(rng.randint(0, 8)):
+                start = at + rng.randint(0, 6)
+                at = start + rng.randint(1, 5)
+                spans.append((start, at, "t", "c", 1.0))
+            some.append(spans)
+        lists.append(some)
+    df = spark.createDataFrame(list(enumerate(lists)), f"i int, s array<array<{detect.FLAT}>>")
+    for r in df.select("i", detect.without_overlaps(F.col("s")).alias("k")).collect():
+        kept = []
+        for spans in lists[r.i]:
+            kept += [s for s in spans if not any(a[0] < s[1] and s[0] < a[1] for a in kept)]
+        assert [(x.start, x.end) for x in r.k] == [s[:2] for s in sorted(kept)]
+
+
+def test_running_sums(spark):
+    rng = random.Random(4)
+    rows = [(k, [rng.randint(0, 9) for _ in range(n)]) for k, n in enumerate([0, 1, 127, 128, 129, 256, 1000])]
+    for r, (_, a) in zip(spark.createDataFrame(rows, "k int, a array<int>").select("k", detect.totals(F.col("a")).alias("t")).orderBy("k").collect(), rows):
+        assert list(r.t) == [sum(a[: i + 1]) for i in range(len(a))]
+
+
+def lexicon_of(spark, terms):
+    return spark.createDataFrame([(t.category, t.rank, t.weight, t.term) for t in terms], "category string, category_rank int, weight double, term string")
+
+
+def test_automaton_equals_patterns(spark):
+    from carewatch.functions import automaton
+
+    rng = random.Random(6)
+    terms = [Term("a", 0, 2.0, t) for t in ("órgão", "soco", "arma de fogo", "x-y", "ς", "STRASSE")] + [Term("b", 1, 1.0, t) for t in ("arma", "soco forte", "fogo", "de", "soco")] + [Term("c", 2, 1.5, t) for t in ("sem", "-")]
+    parts = ["ÓRGÃO", "socos", "soco", "soco forte", "arma de fogo", "arma", "de", "x-y", "não", "sem", ". ", "! ", "\n", "🙂", "İ", "straße", "ΑΣ", "Σ", "é", "e\u0301", "_de", "de²", "-"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(300)] + [None, "", "soco" * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    want = rows.select("i", detect.detections(F.col("text"), terms).alias("detections"))
+    got = automaton.detected(rows, lexicon_of(spark, terms + terms[:2])).select("i", "detections")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert automaton.detected(rows, lexicon_of(spark, terms).limit(0)).where("size(detections) > 0").count() == 0
+    with pytest.raises(ValueError):
+        automaton.detected(rows, lexicon_of(spark, terms), most_terms=5)
+
+
+def test_automaton_is_flat_in_the_number_of_terms():
+    import time
+
+    from carewatch.functions.automaton import Matcher
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(7, 12)))
+    said = " ".join(word() for _ in range(20_000))
+    took = []
+    for n in (500, 50_000):
+        m = Matcher([(0, "c", 1.0, word()) for _ in range(n)] + [(0, "c", 1.0, said.split()[0])])
+        began = time.perf_counter()
+        assert m.spans(said)[0][0]["start"] == 0
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0], took
