@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .detect import DETECTION, FLAT, described, let, without_overlaps
+from .detect import FLAT, described, let, without_overlaps
 from .lexicon import NEGATIONS
 
 #: Terms up to which a lexicon is collected and sent to every worker; larger ones go through detect.match_by_join.
@@ -93,14 +93,14 @@ def matcher_of(shared, name: str) -> Matcher:
     return _MADE[name]
 
 
-def detected(docs: DataFrame, lexicon: DataFrame, cues: list[str] = NEGATIONS, window: int = 120, text: str = "text", most_terms: int = MOST_TERMS) -> DataFrame:
-    """docs with detections, as rules.detected() gives, by a lexicon(category, category_rank, weight, term) of up to most_terms terms.
+def matched(docs: DataFrame, lexicon: DataFrame, text: str = "text", most_terms: int = MOST_TERMS, out: str = "spans") -> DataFrame:
+    """docs with spans(start, end, term, category, weight) of the terms of lexicon(category, category_rank, weight, term), in order of position.
 
-    The terms are counted before they are collected and sent to every worker, where they
-    make one automaton; its time for a text grows with the text and its hits, not with the
-    terms. Python finds the spans alone: overlaps, negation, context and sentences are the
-    expressions of detect. Null and empty texts and an empty lexicon give no hits; terms
-    that repeat count once in a category, empty ones never.
+    Up to most_terms terms, counted before they are collected and sent to every worker,
+    where they make one automaton; its time for a text grows with the text and its hits,
+    not with the terms. Python finds each category's spans, overlaps are removed by
+    expressions. Null and empty texts and an empty lexicon give no spans; terms that repeat
+    count once in a category, empty ones never.
     """
     rows = lexicon.where("term is not null").select(F.col("category_rank").cast("int"), "category", F.col("weight").cast("double"), "term").distinct()
     terms = [tuple(r) for r in rows.limit(most_terms + 1).collect()]
@@ -115,7 +115,11 @@ def detected(docs: DataFrame, lexicon: DataFrame, cues: list[str] = NEGATIONS, w
         for texts in batches:
             yield pa.array([matcher.spans(t) for t in texts.to_pylist()], kind)
 
-    raw = docs.withColumn("_spans", spans(F.col(text)))
+    return docs.withColumn(out, spans(F.col(text))).withColumn(out, without_overlaps(F.col(out)))
+
+
+def detected(docs: DataFrame, lexicon: DataFrame, cues: list[str] = NEGATIONS, window: int = 120, text: str = "text", most_terms: int = MOST_TERMS) -> DataFrame:
+    """docs with detections, as rules.detected() gives, of the spans of matched(); negation, context and sentences are expressions."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = let(without_overlaps(F.col("_spans")), lambda kept: described(whole, kept, cues, window, False))
-    return raw.withColumn("detections", F.when(F.exists("_spans", lambda s: F.size(s) > 0), found).otherwise(F.array().cast(f"array<{DETECTION}>"))).drop("_spans")
+    raw = matched(docs, lexicon, text, most_terms, "_spans")
+    return raw.withColumn("detections", let(F.col("_spans"), lambda kept: described(whole, kept, cues, window, False))).drop("_spans")

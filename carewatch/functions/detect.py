@@ -15,6 +15,8 @@ FLAT = "struct<start:int,end:int,term:string,category:string,weight:double>"
 DETECTION = "struct<term:string,category:string,weight:double,start:int,end:int,negated:boolean,context:string,sentence:string>"
 #: Elements of an array that are summed up at a time; code points of a block of text.
 CHUNK, BLOCK = 128, 256
+#: Most characters of a sentence: one without a closing sign would be repeated whole for each of its hits.
+SENTENCE = 4096
 
 
 def quoted(word: str) -> str:
@@ -134,7 +136,8 @@ def borders_of(text: Column) -> Column:
 def sentence(blocks: Column, borders: Column, length: Column, start: Column, end: Column, compat: bool = False) -> Column:
     """The sentence around a hit of a text in blocks, up to its closing sign. compat keeps the sign that closed the one before.
 
-    Both ends are found among the borders by bisection.
+    Both ends are found among the borders by bisection. Of a longer sentence the first
+    SENTENCE characters are kept; 500 are stored, see exploded().
     """
     after = lambda x: place_of(x, borders, lambda b: b)
 
@@ -142,7 +145,7 @@ def sentence(blocks: Column, borders: Column, length: Column, start: Column, end
         left = F.when(at > 0, F.try_element_at(borders, at) - int(compat)).otherwise(0)
         near = F.coalesce(F.try_element_at(borders, at + 1), length)
         right = F.when(near > end, near).otherwise(F.coalesce(F.try_element_at(borders, after(end) + 1), length))  # a sign within the hit
-        return trimmed(part(blocks, left, right))
+        return trimmed(part(blocks, left, F.least(right, left + SENTENCE)))
 
     return let(after(start), around)
 
@@ -168,8 +171,7 @@ def described(text: Column, kept: Column, cues: list[str], window: int, compat:
     """Spans in order of position with negation, context and sentence, heaviest first.
 
     A text is cut into blocks and its borders are found once, so the work grows with the
-    text and its hits, not with their product. A sentence comes whole: in a text without
-    any closing sign it is the text.
+    text and its hits, not with their product.
     """
     negated = negation_pattern(cues) if cues else r"(?!)"
     names = ("term", "category", "weight", "start", "end", "negated", "context", "sentence")

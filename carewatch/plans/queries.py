@@ -302,7 +302,7 @@ def lexicon_match_automaton(spark, d):
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))).alias("term")).where(F.length("term") % 2 == 0).distinct()
     rank = F.length("term") % 3
     lexicon = words.select(F.concat(F.lit("words of "), rank).alias("category"), rank.alias("category_rank"), F.lit(1.0).alias("weight"), "term")
-    hits = automaton.detected(docs, lexicon, []).select("doc_id", F.explode("detections").alias("h"))
+    hits = automaton.matched(docs, lexicon).select("doc_id", F.explode("spans").alias("h"))
     return hits.groupBy("doc_id", "h.category").agg(F.count("*").alias("n"), F.sum(F.length("h.term")).cast("long").alias("chars"))
 
 
