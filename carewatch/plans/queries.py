@@ -893,4 +893,26 @@ def stream_ingest(spark, d):
     out, check = shared_folder(spark, "ingested"), shared_folder(spark, "checkpoint")
     analyse = lambda docs: rules.detected(docs, v.DEMO, v.DEMO_CUES).select("doc_id", "detections.category")
     jobs.stream_ingest(spark, text_files(spark, d), out, check, analyse, glob="*.txt").awaitTermination()
-    return spark.read.parquet(f"{out}/analyses").select(F.explode("category").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    return jobs.ingested(spark, out).select(F.explode("category").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+def counting_words():
+    """An analysis of the caller's that fails on texts with a password."""
+
+    def analyse(said):
+        if "password" in said:
+            raise ValueError("secret")
+        return {"words": len(said.split())}
+
+    return analyse
+
+
+@query("stream_sink", r"SELECT coalesce(CASE WHEN contains(t, 'password') THEN 'ValueError: secret' END, 'analysed') AS outcome, count(*) AS files, sum(CASE WHEN contains(t, 'password') THEN NULL ELSE len(regexp_extract_all(t, '" + WORD + "')) END)::BIGINT AS words FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents) GROUP BY 1")
+def stream_sink(spark, d):
+    """What became of every file where an analysis fails on some texts: each of them is one dead letter, the others are stored."""
+    out, check = shared_folder(spark, "sunk"), shared_folder(spark, "checkpoint")
+    count = lambda docs: docs.withColumn("r", jobs.by_row(counting_words, "words: bigint", F.col("text"))).select("doc_id", "r.value.words", "r.error")
+    jobs.stream_ingest(spark, text_files(spark, d), out, check, count, glob="*.txt").awaitTermination()
+    done = jobs.ingested(spark, out).select(F.lit("analysed").alias("outcome"), "words")
+    lost = jobs.ingested(spark, out, "rejected").select(F.col("reject_reason").alias("outcome"), F.lit(None).cast("long").alias("words"))
+    return done.unionByName(lost).groupBy("outcome").agg(F.count("*").alias("files"), F.sum("words").alias("words"))

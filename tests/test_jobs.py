@@ -146,11 +146,11 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     go()
     put(folder, c_txt="Vítima de estupro.".encode(), d_txt=b"levou um soco")
     go()
-    got = spark.read.parquet(f"{out}/analyses").where("batch >= 0")
+    got = jobs.ingested(spark, out)
     files = src.taken(src.gated(src.read_files(spark, str(folder), "*")))
     want = rules.analyze(jobs.documents_of(files).dropDuplicates(["doc_id"]))
     assert sorted((r.doc_id, r.score) for r in got.select("doc_id", "score").collect()) == sorted((r.doc_id, r.score) for r in want.collect())
-    assert spark.read.parquet(f"{out}/rejected").count() == 1
+    assert jobs.ingested(spark, out, "rejected").count() == 1
 
 
 def test_stream_state_and_counts(spark, tmp_path):
@@ -182,3 +182,85 @@ def test_pages(spark):
     assert {(r.doc_id, r.text, r.page_count) for r in docs.collect()} == {(1, "a\nb", 2), (2, "c" * 30, 1)}
     assert an.doc_and_page_union(docs, pages).where("page_number is null").count() == 2
     assert an.page_filter(pages).count() == 1
+
+
+def sink(spark, tmp_path, make, **options):
+    count = lambda docs: docs.withColumn("r", jobs.by_row(make, "n: int", F.col("text"))).select("doc_id", "r.value.n", "r.error")
+    jobs.stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), count, glob="*.txt", **options).awaitTermination()
+
+
+def fails_on(word, error):
+    def make():
+        def analyse(said):
+            if word in said:
+                raise error(f"no {word}")
+            return {"n": len(said)}
+
+        return analyse
+
+    return make
+
+
+def test_an_outage_loses_no_document(spark, tmp_path):
+    """A failure that passes fails the batch, nothing counts; after a restart every document is analysed."""
+    put(tmp_path / "in", **{f"f{k}_txt": b"text %d" % k for k in range(6)})
+    with pytest.raises(Exception, match="no text"):
+        sink(spark, tmp_path, fails_on("text", OSError))
+    out = str(tmp_path / "out")
+    assert [jobs.ingested(spark, out, t, s).count() for t, s in (("analyses", "doc_id string"), ("rejected", "path string"), ("seen", "doc_id string"))] == [0, 0, 0]
+    sink(spark, tmp_path, fails_on("nothing", OSError))
+    assert [jobs.ingested(spark, out, t).count() for t in ("analyses", "rejected", "seen")] == [6, 0, 6]
+
+
+def test_one_poisonous_text_is_one_dead_letter(spark, tmp_path):
+    """It isn't seen, so it has another chance when it comes again; the others aren't looked at twice."""
+    out = str(tmp_path / "out")
+    put(tmp_path / "in", **{f"f{k}_txt": b"text %d" % k for k in range(5)}, bad_txt=b"poison")
+    sink(spark, tmp_path, fails_on("poison", ValueError))
+    assert [(r.path.rsplit("/")[-1], r.length, r.reject_reason) for r in jobs.ingested(spark, out, "rejected").collect()] == [("bad.txt", 6, "ValueError: no poison")]
+    assert jobs.ingested(spark, out, "seen").count() == 5
+    put(tmp_path / "in", again_txt=b"poison", copy_txt=b"text 3", new_txt=b"new")
+    sink(spark, tmp_path, fails_on("nothing", ValueError))
+    assert sorted(r.n for r in jobs.ingested(spark, out).collect()) == [3, 6, 6, 6, 6, 6, 6]
+    assert jobs.ingested(spark, out, "seen").count() == 7
+
+
+def test_seen_ids_are_merged_and_filtered(spark, tmp_path):
+    """Ids of many batches, merged over and over, equal a set; lookups read the buckets that may match alone."""
+    import hashlib
+
+    from carewatch.sources.store import Seen, Store
+
+    store = Store(spark, str(tmp_path))
+    seen = Seen(store, recent=2)
+    name = lambda k: hashlib.sha256(str(k).encode()).hexdigest()
+    frame = lambda some: spark.createDataFrame([(name(k),) for k in some], "doc_id string")
+    for batch in range(9):
+        some = range(100 * batch, 100 * batch + 100)
+        assert seen.known(frame([*some, *range(0, 100 * batch, 7)]), batch).count() == len(range(0, 100 * batch, 7))
+        with store.batch(batch) as run:
+            run.put(frame(some), "seen")
+        seen.compact(batch + 1)
+    since, generations = seen.index()
+    assert since == 9 and sum(n for _, n, _ in generations) == 900 and 1 <= len(generations) <= 3
+    assert {r.doc_id for r in seen.known(frame([5, 899, 5000]), 9).collect()} == {name(5), name(899)}
+    plan = seen.known(frame([5, 899]), 9)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and plan.count("bucket#") > 0
+
+
+def test_a_batch_counts_whole_or_not_at_all(spark, tmp_path):
+    from carewatch.sources.store import Store
+
+    store, rows = Store(spark, str(tmp_path)), spark.range(3)
+    with store.batch(0) as run:
+        run.put(rows, "a")
+        run.put(rows, "b")
+    with pytest.raises(RuntimeError):
+        with store.batch(1) as run:
+            run.put(rows, "a")
+            raise RuntimeError("lost")
+    assert (store.read("a").count(), store.read("b").count()) == (3, 3)
+    with store.batch(0) as run:  # again, with other rows
+        run.put(rows.limit(1), "a")
+        run.put(rows.limit(2), "b")
+    assert (store.read("a").count(), store.read("b").count(), store.read("c", "x int").count()) == (1, 2, 0)
