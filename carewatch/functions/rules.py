@@ -68,6 +68,21 @@ def best_type(probabilities: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, TYPES)), F.array_position(probabilities, F.array_max(probabilities)).cast("int"))
 
 
+def probabilities_map(probabilities: Column) -> Column:
+    """map type -> probability."""
+    return F.map_from_arrays(F.array(*map(F.lit, TYPES)), probabilities)
+
+
+def to_json(probabilities: Column) -> Column:
+    """The map as JSON text, as it is stored."""
+    return F.to_json(probabilities)
+
+
+def from_json(stored: Column) -> Column:
+    """The map of what to_json gave; null for a text that isn't such a map."""
+    return F.from_json(stored, "map<string,double>")
+
+
 def feature_names(categories=tuple(CATEGORIES), flags=tuple(FLAGS)) -> list[str]:
     return [*(f"score_{c}" for c in categories), *(f"count_{c}" for c in categories), "count_negated", "total_score", *(f"pattern_{f}" for f in flags), *(f"text_{s}" for s in STATS)]
 
@@ -96,7 +111,7 @@ def analyze(docs: DataFrame, lexicon: list[Term] | None = None, cues: list[str]
     known = F.map_concat(F.map_from_arrays(F.array(*(F.lit(c) for c in CATEGORIES if c not in categories)), F.array(*(F.lit(0.0) for c in CATEGORIES if c not in categories))), F.col("category_scores")) if set(CATEGORIES) - set(categories) else F.col("category_scores")
     live = live.withColumn("probabilities", rule_probabilities(rule_scores(known, F.col("flags"))))
     live = live.withColumn("notification_type", best_type(F.col("probabilities"))).withColumn("confidence", F.array_max("probabilities"))
-    live = live.withColumn("all_probabilities", F.map_from_arrays(F.array(*map(F.lit, TYPES)), F.col("probabilities"))).drop("probabilities")
+    live = live.withColumn("all_probabilities", probabilities_map(F.col("probabilities"))).drop("probabilities")
     return live.withColumn("severity_level", severity(F.col("score"))).withColumn("mode", F.lit(mode))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import STATUSES
 from ..functions.text import UNKNOWN_PATIENT, month_label, severity_rank, week_label
+from .scan import ROWS, running
 
 
 def doc_level(analyses: DataFrame) -> DataFrame:
@@ -113,27 +114,16 @@ def priority_queue(analyses: DataFrame, documents: DataFrame, limit: int = 50, *
     return with_documents(top, documents).select("analysis_id", "doc_id", "filename", "document_type", "notification_type", "severity_level", "score", "case_status").orderBy(F.desc("score"), "analysis_id")
 
 
-def queue_rank(analyses: DataFrame, by: str = "notification_type", slices: int = 64) -> DataFrame:
+def queue_rank(analyses: DataFrame, by: str = "notification_type", fits: int = ROWS) -> DataFrame:
     """Place of each pending case in its queue, and the case that follows; queues are apart by a column.
 
-    A queue is cut into slices at quantiles of the score, each ordered by a task of its
-    own; a table of one row per queue and slice says how many cases and which one come
-    before and after. A null score comes last; equal scores share a slice.
+    Highest score first, ties by analysis_id, a null score last. A queue of more than
+    `fits` cases is ranked in slices of (score, analysis_id), so equal scores are split too.
     """
     rows = queue_filters(doc_level(analyses), status="pendente").select("analysis_id", by, "score")
-    bounds = rows.approxQuantile("score", [k / slices for k in range(1, slices)], 0.5 / slices) if slices > 1 else []
-    above = F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<double>"), lambda b: b >= F.col("score"))
-    rows = rows.withColumn("_slice", F.coalesce(F.size(above), F.lit(slices)))
-    order = [F.desc("score"), F.col("analysis_id")]
-    first = F.min_by("analysis_id", F.struct(F.col("score").isNull(), -F.col("score"), "analysis_id"))
-    parts = rows.groupBy(by, "_slice").agg(F.count("*").alias("_n"), first.alias("_first"))
-    queue = Window.partitionBy(by).orderBy("_slice")
-    parts = parts.withColumn("_before", F.sum("_n").over(queue) - F.col("_n")).withColumn("_next", F.lead("_first").over(queue))
-    parts = F.broadcast(parts.select(F.col(by).alias("_by"), F.col("_slice").alias("_of"), "_before", "_next"))  # a row per queue and slice
-    here = Window.partitionBy(by, "_slice").orderBy(*order)
-    got = rows.withColumn("_place", F.row_number().over(here)).withColumn("_lead", F.lead("analysis_id").over(here))
-    got = got.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slice") == F.col("_of")))
-    return got.select("analysis_id", by, "score", (F.col("_before") + F.col("_place")).cast("int").alias("place"), F.coalesce("_lead", "_next").alias("next_id"))
+    rows = rows.withColumn("_none", F.col("score").isNull()).withColumn("_low", -F.col("score"))
+    got = running(rows, [by], ["_none", "_low", "analysis_id"], count="place", leads={"next_id": "analysis_id"}, fits=fits)
+    return got.select("analysis_id", by, "score", F.col("place").cast("int").alias("place"), "next_id")
 
 
 def known_patients(analyses: DataFrame) -> DataFrame:
@@ -141,23 +131,25 @@ def known_patients(analyses: DataFrame) -> DataFrame:
     return analyses.where(F.col("patient_hash").isNotNull() & (F.col("patient_hash") != UNKNOWN_PATIENT))
 
 
-def patient_timeline(analyses: DataFrame, documents: DataFrame) -> DataFrame:
-    rows = known_patients(doc_level(analyses)).join(documents.select("doc_id", "document_date"), "doc_id")
-    order = Window.partitionBy("patient_hash").orderBy(F.col("document_date").asc_nulls_first(), "analyzed_at", "analysis_id")
-    return rows.select("patient_hash", "analysis_id", "document_date", "score", F.row_number().over(order).alias("seq"), F.count("*").over(Window.partitionBy("patient_hash")).alias("total"))
+def patient_timeline(analyses: DataFrame, documents: DataFrame, fits: int = ROWS) -> DataFrame:
+    """Place of each whole-document analysis in its patient's history, and the length of that; no history is one task's if it has more than `fits` rows."""
+    rows = known_patients(doc_level(analyses)).join(documents.select("doc_id", "document_date"), "doc_id").select("patient_hash", "analysis_id", "document_date", "score", "analyzed_at")
+    got = running(rows, ["patient_hash"], ["document_date", "analyzed_at", "analysis_id"], count="seq", total="total", fits=fits)
+    return got.select("patient_hash", "analysis_id", "document_date", "score", F.col("seq").cast("int").alias("seq"), "total")
 
 
-def score_evolution(analyses: DataFrame) -> DataFrame:
-    order = Window.partitionBy("patient_hash").orderBy("analyzed_at", "analysis_id")
-    before = F.lag("score").over(order)
-    top = F.max("score").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return known_patients(doc_level(analyses)).select("patient_hash", "analysis_id", "score", before.alias("previous_score"), F.round(F.col("score") - before, 3).alias("delta"), top.alias("running_max"))
+def score_evolution(analyses: DataFrame, fits: int = ROWS) -> DataFrame:
+    """Each analysis with its patient's score before and highest so far."""
+    rows = known_patients(doc_level(analyses)).select("patient_hash", "analysis_id", "score", "analyzed_at")
+    got = running(rows, ["patient_hash"], ["analyzed_at", "analysis_id"], lags={"previous_score": "score"}, tops={"running_max": "score"}, fits=fits)
+    return got.select("patient_hash", "analysis_id", "score", "previous_score", F.round(F.col("score") - F.col("previous_score"), 3).alias("delta"), "running_max")
 
 
-def previous_occurrences(analyses: DataFrame) -> DataFrame:
+def previous_occurrences(analyses: DataFrame, fits: int = ROWS) -> DataFrame:
     """How many other whole-document analyses the patient of a case has."""
-    others = F.count("*").over(Window.partitionBy("patient_hash")) - 1
-    return known_patients(doc_level(analyses)).select("analysis_id", "patient_hash", others.alias("others"))
+    rows = known_patients(doc_level(analyses)).select("analysis_id", "patient_hash")
+    got = running(rows, ["patient_hash"], ["analysis_id"], total="_total", fits=fits)
+    return got.select("analysis_id", "patient_hash", (F.col("_total") - 1).alias("others"))
 
 
 def other_occurrences(analyses: DataFrame, cases: DataFrame) -> DataFrame:

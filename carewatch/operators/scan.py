@@ -43,7 +43,7 @@ def slice_of(df: DataFrame, keys: list[Column], bounds: list[tuple]) -> Column:
 
 def running(
     df: DataFrame, by: list[str], order: list[str], *, count: str | None = None, total: str | None = None, sums: dict[str, str] | None = None, tops: dict[str, str] | None = None,
-    lasts: dict[str, str] | None = None, lags: dict[str, str] | None = None, leads: dict[str, str] | None = None, slices: int | None = None, n_rows: int | None = None,
+    lasts: dict[str, str] | None = None, lags: dict[str, str] | None = None, leads: dict[str, str] | None = None, slices: int | None = None, n_rows: int | None = None, fits: int | None = None,
 ) -> DataFrame:
     """df with running values in ascending `order` (nulls first) of the rows with equal `by` (null is a value, none: all rows).
 
@@ -56,10 +56,14 @@ def running(
     that a group of any size is spread over many tasks; each slice runs its own windows.
     Of each slice one row says how it begins and ends; windows over these rows (at most
     MOST) give what the first group of a slice takes over from the slices before it. df is
-    read twice or more, so its rows must be the same each time.
+    read twice or more, so its rows must be the same each time. With `fits`, the largest
+    group is counted first; if it has no more rows than that, plain windows do.
     """
     sums, tops, lasts, lags, leads = (x or {} for x in (sums, tops, lasts, lags, leads))
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    if fits is not None and slices is None:
+        most = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+        slices, n_rows = (1 if (most[0] or 0) <= fits else None), most[1] or 0
     if slices is None:
         n_rows = df.count() if n_rows is None else n_rows
         slices = slices_for(df, n_rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import ROWS, running
+
 #: What a decision makes of a case.
 DECISIONS = {"open": "em análise", "confirm": "notificado", "reclassify": "notificado", "archive": "arquivado", "reopen": "pendente"}
 
@@ -64,6 +66,7 @@ def batch_status_report(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status").agg(F.count("*").alias("files"))
 
 
-def first_copies(files: DataFrame, order: list[str]) -> DataFrame:
-    """files with duplicate_rank: 1 for the first of equal doc_id."""
-    return files.withColumn("duplicate_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+def first_copies(files: DataFrame, order: list[str], fits: int = ROWS) -> DataFrame:
+    """files with duplicate_rank: 1 for the first of equal doc_id; more than `fits` copies are ranked in slices."""
+    got = running(files, ["doc_id"], order, count="duplicate_rank", fits=fits)
+    return got.withColumn("duplicate_rank", F.col("duplicate_rank").cast("int"))

@@ -106,22 +106,20 @@ def read_files(spark, d):
 
 
 def persisted(spark, d):
-    """The tables of every document's analysis, written twice as one batch."""
+    """The store of every document's analysis, written twice as one batch."""
     path = shared_folder(spark, "tables")
     rows = analysed(spark, d).withColumn("page_number", F.lit(None).cast("int")).withColumn("month", F.concat(F.lit("m"), F.col("doc_id") % 3))
-    for _ in range(2):
-        src.persist_tables(rows, path)
-    return path
+    return [src.persist_tables(rows, path) for _ in range(2)][-1]
 
 
 @query("persist_tables", "SELECT doc_id, CASE WHEN length(regexp_replace(coalesce(text, ''), '^[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+$', '', 'g')) = 0 THEN 'texto_insuficiente' ELSE 'sucesso' END AS status, length(text)::INTEGER AS n_chars, 'm' || (doc_id % 3) AS month FROM documents")
 def persist_tables(spark, d):
-    return spark.read.parquet(f"{persisted(spark, d)}/documents").select("doc_id", "status", "n_chars", "month")
+    return persisted(spark, d).read("documents").select("doc_id", "status", "n_chars", "month")
 
 
 @query("persist_detections", r"SELECT doc_id, category, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')) AS term FROM documents) JOIN lexicon USING (term) GROUP BY ALL", (v.DEMO_SQL,))
 def persist_detections(spark, d):
-    rows = spark.read.parquet(f"{persisted(spark, d)}/detections")
+    rows = persisted(spark, d).read("detections")
     return rows.groupBy("doc_id", "category", F.lower("term").alias("term")).agg(F.count("*").alias("n"))
 
 
@@ -164,7 +162,9 @@ def export_order(spark, d):
 
 @query("export_full_rows", "SELECT analysis_id, doc_id, filename, document_type, document_date::VARCHAR AS document_date, page_count, left(patient_hash, 16) AS patient_hash, score, severity_level, case_status FROM cases", (A, D, CASES))
 def export_full_rows(spark, d):
-    return privacy.pii_free(cases(spark, d)).select("analysis_id", "doc_id", "filename", "document_type", F.col("document_date").cast("string").alias("document_date"), "page_count", "patient_hash", "score", "severity_level", "case_status")
+    path = shared_folder(spark, "full")
+    src.export_full_rows(privacy.pii_free(cases(spark, d)), path)
+    return spark.read.parquet(path).select("analysis_id", "doc_id", "filename", "document_type", F.col("document_date").cast("string").alias("document_date"), "page_count", "patient_hash", "score", "severity_level", "case_status")
 
 
 @query("pii_free_projection", "SELECT c_custkey AS case_id, left(sha256(c_custkey::VARCHAR), 16) AS patient_hash, c_mktsegment AS segment FROM customer")
@@ -801,10 +801,13 @@ def highlight_spans(spark, d):
     return analysed(spark, d).select("doc_id", detect.highlighted(F.col("text"), F.col("detections")).alias("html"))
 
 
-@query("probabilities_json", "SELECT o_orderkey, o_totalprice FROM orders")
+@query("probabilities_json", f"SELECT o_orderkey, {KINDS}[k] AS notification_type, p[k] AS probability, list_max(p) AS confidence FROM (SELECT *, unnest(range(1, 9)) AS k FROM (SELECT o_orderkey, {SOFT} AS p FROM scored))", (ORDERS_JUDGED,))
 def probabilities_json(spark, d):
-    packed = F.to_json(F.create_map(F.lit("p"), F.col("o_totalprice")))
-    return table(spark, d, "orders").select("o_orderkey", F.from_json(packed, "map<string,double>")["p"].alias("o_totalprice"))
+    """The types' probabilities as JSON text, as they are stored, and back."""
+    rows = judged_orders(spark, d).select("o_orderkey", rules.probabilities_map(rules.rule_probabilities(F.col("s"))).alias("p"))
+    stored = rows.select("o_orderkey", rules.to_json(F.col("p")).alias("all_probabilities"))
+    back = stored.select("o_orderkey", rules.from_json(F.col("all_probabilities")).alias("p"))
+    return back.select("o_orderkey", F.explode("p").alias("notification_type", "probability"), F.array_max(F.map_values("p")).alias("confidence"))
 
 
 @query("vector_concat", f"SELECT doc_id, len(embedding) + {len(FEATURES)} AS width, round(embedding[len(embedding)]::DOUBLE, 6) AS last, length(coalesce(text, ''))::DOUBLE AS n_chars FROM documents JOIN embeddings ON vec_id = doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detect import exploded
 from ..functions.text import code_of, format_date_br, stripped_length
+from .store import Store
 
 #: Largest file that is taken, in bytes.
 MOST_BYTES = 50 << 20
@@ -73,21 +74,20 @@ def analysis_id(doc_id, page_number):
     return F.sha2(F.concat(doc_id.cast("string"), F.lit(":"), F.coalesce(page_number.cast("string"), F.lit("doc"))), 256)
 
 
-def persist_tables(analysed: DataFrame, folder: str, month: str = "month", batch: str = "0") -> None:
+def persist_tables(analysed: DataFrame, folder: str, month: str = "month", batch: int = 0) -> Store:
     """Add documents, analyses and detections; analysed has the columns of rules.analyze, doc_id, page_number and month.
 
-    Each batch has a folder of its own in every table, which a run of the same batch
-    replaces, so a repeated run doubles nothing. The expensive columns are computed once:
+    The three tables are a Store's: they count together once the batch is committed, and a
+    run of the same batch replaces all of them. The expensive columns are computed once:
     what was analysed is stored first.
     """
-    spark, staged = analysed.sparkSession, f"{folder}/_staged/batch={batch}"
-    named = analysed.withColumn("analysis_id", analysis_id(F.col("doc_id"), F.col("page_number")))
-    named.write.mode("overwrite").parquet(staged)
-    rows = spark.read.schema(named.schema).parquet(staged)
-    put = lambda df, name: df.write.mode("overwrite").partitionBy(month).parquet(f"{folder}/{name}/batch={batch}")
-    put(rows.where("page_number is null").select("doc_id", text_status(F.col("text")).alias("status"), F.length("text").alias("n_chars"), month), "documents")
-    put(rows.select("analysis_id", "doc_id", "page_number", "notification_type", "confidence", "score", "severity_level", "mode", F.to_json("all_probabilities").alias("all_probabilities"), month), "analyses")
-    put(exploded(rows, ["analysis_id", "doc_id", "page_number", month]), "detections")
+    store = Store(analysed.sparkSession, folder)
+    with store.batch(batch) as run:
+        rows = run.staged(analysed.withColumn("analysis_id", analysis_id(F.col("doc_id"), F.col("page_number"))), "analysed")
+        run.put(rows.where("page_number is null").select("doc_id", text_status(F.col("text")).alias("status"), F.length("text").alias("n_chars"), month), "documents", month)
+        run.put(rows.select("analysis_id", "doc_id", "page_number", "notification_type", "confidence", "score", "severity_level", "mode", F.to_json("all_probabilities").alias("all_probabilities"), month), "analyses", month)
+        run.put(exploded(rows, ["analysis_id", "doc_id", "page_number", month]), "detections", month)
+    return store
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -40,3 +40,26 @@ def test_a_large_group_is_spread(rows):
     bounds = bounds_of(rows, keys, 12, rows.count())
     sizes = [r["count"] for r in rows.groupBy(slice_of(rows, keys, bounds).alias("k")).count().collect()]
     assert len(sizes) == 12 and max(sizes) < 2 * 600 / 12
+
+
+def test_equal_scores_are_ranked_by_several_tasks(spark):
+    """A queue whose scores are all equal, and one key of half the table, equal plain windows; several tasks have rows."""
+    import datetime as dt
+
+    from carewatch.operators import analytics as an
+    from carewatch.operators import workflow
+
+    day = dt.datetime(2025, 1, 1)
+    rows = [(k, k, "hot" if k % 2 else f"p{k % 40}", day + dt.timedelta(hours=k % 5), 7.0 if k < 900 else None, "t", "pendente", None, "ALTO") for k in range(1000)]
+    a = spark.createDataFrame(rows, "analysis_id int, doc_id int, patient_hash string, analyzed_at timestamp, score double, notification_type string, case_status string, page_number int, severity_level string")
+    d = spark.createDataFrame([(k, f"f{k}", "t", dt.date(2024, 1, 1 + k % 3) if k % 7 else None, 1) for k in range(1000)], "doc_id int, filename string, document_type string, document_date date, page_count int")
+    files = a.select(F.col("patient_hash").alias("doc_id"), F.col("analysis_id").alias("path"))
+    both = lambda f: [sorted(map(tuple, f(n).collect()), key=repr) for n in (0, 10**9)]
+    sliced, plain = both(lambda n: an.queue_rank(a, fits=n))
+    assert sliced == plain and [r[3] for r in sorted(plain)] == list(range(1, 1001)) and sorted(plain)[0][4] == 1 and sorted(plain)[-1][4] is None
+    for f in (lambda n: an.patient_timeline(a, d, fits=n), lambda n: an.score_evolution(a, fits=n), lambda n: an.previous_occurrences(a, fits=n), lambda n: workflow.first_copies(files, ["path"], fits=n)):
+        sliced, plain = both(f)
+        assert sliced == plain and len(plain) == 1000
+    keys = [F.col("notification_type"), F.col("score"), F.col("analysis_id")]
+    tasks = a.groupBy(slice_of(a, keys, bounds_of(a, keys, 8, 1000))).count().collect()
+    assert len(tasks) == 8
