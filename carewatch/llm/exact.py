@@ -148,14 +148,12 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """docs with one row of each class of equal texts (see classes); columns are those of docs.
 
     Exactly the row that is chosen stays, whatever its doc_id: rows of one doc_id with
-    different texts are different documents. Where the chosen row has a doc_id, one row
-    without any stays beside it if the class has some.
+    different texts are different documents, and a row without a doc_id stays only where
+    its class has none with one as long.
     """
     scratch = Scratch(docs.sparkSession)
     docs, row = scratch.numbered(docs, "rows")
-    order = precedence()
-    best = members_of(docs, scratch, chunk, row=row).groupBy("class").agg(F.min_by("row", order).alias("best"), F.min_by("row", F.when(F.col("doc_id").isNull(), order)).alias("unnamed"))
-    keep = best.select(F.explode(F.array_distinct(F.array("best", F.coalesce("unnamed", "best")))).alias(row))
+    keep = members_of(docs, scratch, chunk, row=row).groupBy("class").agg(F.min_by("row", precedence()).alias(row)).select(row)
     return docs.join(keep, row, "left_semi").drop(row)
 
 
