@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from itertools import combinations
 from math import comb
@@ -20,11 +19,6 @@ SEED = 42
 STEP = 1 << 16
 #: Byte positions in the key of a posting, and members above which a list is taken apart by two more positions.
 CHOSEN, LONG_LIST = 4, 16
-#: A wide fingerprint: lanes of 64 bits, the most bits in which near copies differ, lists it is posted to.
-LANES, WIDE_BITS, KEYS = 4, 28, 128
-#: Members of a list of wide fingerprints whose pairs are written out, and members of longer ones compared at a time.
-SHORT_LIST, BLOCK = 4, 1024
-LANE_NAMES = [f"lane{k}" for k in range(LANES)]
 #: Fingerprints that a task makes postings of, about: there are 70 of each.
 TASK_PRINTS = 1 << 14
 
@@ -59,21 +53,11 @@ def simhash(text: str | None, words: int = 3) -> int:
     A bit is set if more than half of the shingles' hashes have it. A null text or one
     without words has fingerprint zero.
     """
-    return wide_simhash(text, words, 1)[0]
-
-
-def wide_simhash(text: str | None, words: int = 3, lanes: int = LANES) -> list[int]:
-    """simhash() of 64 bits a lane: the first has the shingles' hashes, each further one a mix of them with a number of its own."""
-    counts, n = np.zeros((lanes, 64), dtype=np.int64), 0
+    counts, n = np.zeros(64, dtype=np.int64), 0
     for h in shingle_hashes(text, words):
         n += len(h)
-        counts[0] += ones(h)
-        for lane in range(1, lanes):
-            z = h + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-            counts[lane] += ones(z ^ z >> np.uint64(31))
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<i8").ravel().tolist()
+        counts += ones(h)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: Column, words: int = 3) -> Column:
@@ -194,92 +178,6 @@ def near_dedup(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     return docs.join(keep, row, "left_semi").drop(row)
 
 
-def wide_masks(keys: int) -> list[tuple[int, ...]]:
-    """Signed masks, one for each lane, of CHOSEN byte positions of a wide fingerprint: keys seeded choices."""
-    rng, out = random.Random(SEED), []
-    for _ in range(keys):
-        some = rng.sample(range(8 * LANES), CHOSEN)
-        lanes = [sum(0xFF << 8 * (p % 8) for p in some if p // 8 == lane) for lane in range(LANES)]
-        out.append(tuple(m - (1 << 64) if m >> 63 else m for m in lanes))
-    return out
-
-
-def linked_in_block(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
-    """Edges of a spanning forest of the pairs at max_bits or fewer among the rows (id, lanes).
-
-    Rows are taken by id, so lists that share members mostly give the same edges.
-    """
-    pdf = pdf.sort_values("id")
-    ids, label = pdf["id"].to_numpy(), np.arange(len(pdf))
-    fps = pdf[LANE_NAMES].to_numpy().view(np.uint64)
-    edges = []
-    for i in range(len(ids) - 1):
-        near = i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(axis=1) <= max_bits)
-        for j in near[label[near] != label[i]]:
-            if label[j] != label[i]:
-                edges.append((ids[i], ids[j]))
-                label[label == label[j]] = label[i]
-    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-
-def wide_links(prints: DataFrame, scratch: Scratch, max_bits: int = WIDE_BITS, keys: int = KEYS, long_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) among prints(id, lanes), distinct wide fingerprints, whose components are those of the pairs found.
-
-    A pair within max_bits shares at least 32 - max_bits of the 32 positional bytes, four by
-    default: the guaranteed minimum. A list holds fingerprints that have four chosen bytes in
-    common, so all that meet reach it; they are tallied into distinct pairs and verified bit
-    by bit. All 35,960 choices of four would lose nothing; `keys` of them find most, the
-    more bytes a pair shares the surer (see README for the measured share). Members of a
-    list above long_list are compared in tasks of two blocks, and only a spanning forest
-    leaves a task: n^2 / block rows are moved for a list of n, none is dropped.
-    """
-    if not 0 <= max_bits <= 8 * LANES - CHOSEN:
-        raise ValueError(f"max_bits must be 0 to {8 * LANES - CHOSEN}")
-    tasks = max(1, -(-prints.count() // TASK_PRINTS))
-    choices = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(m).alias(n) for m, n in zip(lanes, LANE_NAMES))) for k, lanes in enumerate(wide_masks(keys))))
-    posted = prints.repartition(tasks, "id").select("id", *LANE_NAMES, F.explode(choices).alias("m"))
-    posted = posted.select("id", F.xxhash64("m.k", *(F.col(n).bitwiseAND(F.col(f"m.{n}")) for n in LANE_NAMES)).alias("key"))
-    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n > 1")
-    lists = scratch.stored(lists, "lists")
-    members = scratch.stored(posted.join(lists.where("n > 2").select("key", "n"), "key"), "members")
-    short = paired(members.where(F.col("n") <= long_list).withColumnRenamed("id", "fp"), "key")
-    tally = lists.where("n = 2").select("a", "b").union(short).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    side = lambda end: prints.select(F.col("id").alias(end), *(F.col(n).alias(end + n) for n in LANE_NAMES))
-    bits = sum((F.bit_count(F.col("a" + n).bitwiseXOR(F.col("b" + n))) for n in LANE_NAMES), F.lit(0))
-    found = tally.join(side("a"), "a").join(side("b"), "b").where(bits <= max_bits).select("a", "b")
-    blocks = F.ceil(F.col("n") / block)
-    mine = F.pmod(F.xxhash64("id"), blocks)
-    long = members.where(F.col("n") > long_list).select("key", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    long = long.join(prints, "id").withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-    return found.union(long.groupBy("key", "low", "high").applyInPandas(lambda pdf: linked_in_block(pdf, max_bits), "a long, b long"))
-
-
-def wide_dedup(docs: DataFrame, words: int = 3, max_bits: int = WIDE_BITS, keys: int = KEYS) -> DataFrame:
-    """docs without the near copies by wide fingerprints: of each component the document with the smallest doc_id stays.
-
-    64 bits tell few copies with several edits from other texts; in 256 bits over three
-    words, 28 bits are about a similarity of 0.8 of the sets of five words. Rows stay as in
-    near_dedup: one of each component, a null doc_id last. Null texts count as empty, texts
-    without words are one component, very long texts are hashed whole, repeated rows are
-    one fingerprint, ties go to the first row. Other columns come through; an empty table
-    gives an empty result.
-    """
-    scratch = Scratch(docs.sparkSession)
-    docs, row = scratch.numbered(docs, "rows")
-
-    @F.pandas_udf("array<long>")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_simhash(t, words) for t in texts])
-
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("d"), F.col(row).alias("row"))
-    prints = scratch.stored(docs.select(order.alias("o"), hashed("text").alias("w")), "prints")
-    nodes = prints.select("o", *(F.col("w")[k].alias(n) for k, n in enumerate(LANE_NAMES))).groupBy(*LANE_NAMES)
-    nodes = scratch.stored(nodes.agg(F.min("o.row").alias("id"), F.min("o").alias("best")), "nodes")
-    found = connected_components(wide_links(nodes.drop("best"), scratch, max_bits, keys), scratch)
-    best = nodes.select("id", "best").join(found.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("component", "id")).agg(F.min("best").alias("best"))
-    return docs.join(best.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)
-
-
 def op3_simhash(docs: DataFrame) -> DataFrame:
     """near_groups with the fingerprint as 16 lowercase hex digits."""
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")

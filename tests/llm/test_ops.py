@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from carewatch.llm import bpe, chat, embdup, exact, langid, mixing, quality, simhash, suffix, warc
+from carewatch.llm import bpe, chat, embdup, exact, langid, mixing, near, quality, simhash, suffix, warc
 from carewatch.llm import queries as q
 from carewatch.llm.common import Scratch, connected_components
 
@@ -270,79 +270,6 @@ def test_simhash_links_long_lists(spark, bits):
         assert {f: got.get(f, f) for f in signed} == want
 
 
-def wide_components(prints, bits=simhash.WIDE_BITS):
-    """Components of {id: fingerprint} over all pairs at so many bits, and these pairs."""
-    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= bits]
-    return components(prints, near), near
-
-
-def joined(lanes):
-    return sum((x & (1 << 64) - 1) << 64 * k for k, x in enumerate(lanes))
-
-
-def mixed(h, lane):
-    """A shingle's hash as a lane counts it, in plain integers."""
-    if not lane:
-        return h
-    top = (1 << 64) - 1
-    z = h + lane * 0x9E3779B97F4A7C15 & top
-    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & top
-    z = (z ^ z >> 27) * 0x94D049BB133111EB & top
-    return z ^ z >> 31
-
-
-def test_wide_fingerprints(data):
-    import xxhash
-
-    for t in data.values():
-        words = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        if len(words) > 1000:
-            continue
-        sh = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
-        hashes = [xxhash.xxh64_intdigest(x, 42) for x in sh]
-        want = [sum(1 << k for k in range(64) if 2 * sum(mixed(h, lane) >> k & 1 for h in hashes) > len(hashes)) for lane in range(4)]
-        assert [x & (1 << 64) - 1 for x in simhash.wide_simhash(t)] == want
-    assert simhash.wide_simhash(None) == simhash.wide_simhash(" ") == [0, 0, 0, 0]
-
-
-def test_wide_links(spark):
-    """Groups of near fingerprints, one of 500: nothing but true links, and nearly all of them, whatever the sizes of lists and blocks."""
-    rng = random.Random(3)
-    prints = {}
-    for size in (500, 40, 12, 12, 3, 2, 2, 2):
-        base = rng.getrandbits(256)
-        for _ in range(size):
-            f = base
-            for bit in rng.sample(range(256), rng.randint(0, 20)):
-                f ^= 1 << bit
-            if f not in prints.values():
-                prints[len(prints)] = f
-    for _ in range(200):
-        prints[len(prints)] = rng.getrandbits(256)
-    rows = [(k, *((f >> 64 * n & (1 << 64) - 1) - (f >> 64 * n + 63 & 1) * (1 << 64) for n in range(4))) for k, f in prints.items()]
-    frame = spark.createDataFrame(rows, "id long, lane0 long, lane1 long, lane2 long, lane3 long")
-    want, near = wide_components(prints)
-    for long_list, block in ((simhash.SHORT_LIST, simhash.BLOCK), (2, 7), (10_000, 1)):
-        edges = {(min(r), max(r)) for r in simhash.wide_links(frame, Scratch(spark), long_list=long_list, block=block).collect()}
-        assert edges <= set(near)
-        if long_list == simhash.SHORT_LIST:  # forests of the lists, not the 100,000 pairs of the large group
-            assert len(edges) < 20 * len(prints)
-        got = components(prints, edges)
-        assert sum(got[k] == want[k] for k in prints) >= 0.99 * len(prints)
-    with pytest.raises(ValueError):
-        simhash.wide_links(frame, Scratch(spark), max_bits=29)
-
-
-def test_wide_dedup_edges(spark, docs, data, empty):
-    assert simhash.wide_dedup(empty).count() == 0
-    kept = simhash.wide_dedup(docs.union(docs.limit(5)))
-    want, _ = wide_components({k: joined(simhash.wide_simhash(t)) for k, t in data.items()})
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == docs.columns
-    a, b = "one two three four", "five six seven eight"
-    frame = spark.createDataFrame([(1, a), (1, b), (2, b + " "), (None, "x y"), (None, "x y"), (3, None), (4, "")], "doc_id long, text string").repartition(3)
-    assert sorted((repr(r.doc_id), r.text) for r in simhash.wide_dedup(frame).collect()) == [("1", b), ("1", a), ("3", None), ("None", "x y")]
-
-
 # ---- 4 ----
 
 
@@ -365,7 +292,10 @@ def test_exact_edges(spark, docs, empty):
     rows = spark.createDataFrame([(1, "a b", "l", "s", 1)] * 3 + [(None, "ab", "l", "s", 1), (0, "a b ", "l", "s", 1)], DOCS)
     got = exact.classes(rows).collect()
     assert len(got) == 5 and sum(r.kept for r in got) == 1 and {r.keep_id for r in got} == {0} and {r.group_size for r in got} == {5}
-    assert [r.doc_id for r in exact.exact_dedup(rows).orderBy("doc_id").collect()] == [None, 0]
+    assert [r.doc_id for r in exact.exact_dedup(rows).collect()] == [0]
+    mixed = spark.createDataFrame([(1, "a b c"), (2, "abc"), (None, "ab c"), (None, "a bc"), (None, "a  b  c"), (3, "zzz"), (None, "y y"), (None, "yy")], "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, exact.exact_dedup(mixed).collect()))) == ["(3, 'zzz')", "(None, 'a  b  c')", "(None, 'y y')"]
+    assert [r.doc_id for r in exact.exact_dedup(mixed.where("text <> 'a  b  c' and text like 'a%'")).collect()] == [1]
 
 
 def test_dedup_keeps_the_chosen_rows(spark):
@@ -731,7 +661,7 @@ def test_extra_columns_with_clashing_names(spark, docs):
     wide = docs.select("*", *(F.lit(n).alias(n) for n in names))
     labels = spark.createDataFrame([(7 * k % 1009, k % 2) for k in range(40)], "doc_id long, quality int")
     good = quality.keep_good(wide, labels)
-    for out in (good, exact.exact_dedup(wide), simhash.near_dedup(wide), simhash.wide_dedup(wide), mixing.mixed_documents(wide)):
+    for out in (good, exact.exact_dedup(wide), simhash.near_dedup(wide), near.near_dedup(wide), mixing.mixed_documents(wide)):
         assert out.columns == wide.columns
         assert out.count() > 0 and out.where(" or ".join(f"`{n}` <> '{n}'" for n in names)).count() == 0
     assert suffix.without_repeats(wide).count() == wide.count() and exact.classes(wide).count() == wide.count()
@@ -799,8 +729,9 @@ def test_pipeline_stages(spark):
     before, after = kept["exact dedup"]
     assert {r.doc_id for r in after.collect()} == {v[0] for v in exact_want([(r.doc_id, r.text) for r in before.collect()]).values()}
     before, after = kept["simhash near-dedup"]
-    parts, _ = wide_components({r.doc_id: joined(simhash.wide_simhash(r.text)) for r in before.collect()})
-    assert {r.doc_id for r in after.collect()} == set(parts.values())
+    from .test_near import alike_components
+
+    assert {r.doc_id for r in after.collect()} == set(alike_components({r.doc_id: r.text for r in before.collect()}).values())
     before, after = kept["mixing"]
     want = {r.doc_id: -(-r.taken // r.size) for r in mixing.mix(before).collect() if r.taken}
     assert {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()} == want
