@@ -59,6 +59,6 @@ def tagged(docs: DataFrame, make_tagger: Callable, name: str) -> DataFrame:
                     rows.append({"doc_id": doc_id, "ner_model": name, "warning": f"{type(e).__name__}: {e}"[:200]})
             out = pd.DataFrame(rows).reindex(columns=columns)
             out = out.astype({"start": "Int32", "end": "Int32", "score": "float64"})
-            yield out.astype({"text": "object", "label": "object", "warning": "object"}).where(out.notna(), None)
+            yield out.astype({c: "object" for c in columns if c not in ("start", "end", "score")}).where(out.notna(), None)
 
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, ENTITY)

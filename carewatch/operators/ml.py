@@ -51,6 +51,30 @@ def score_classifier(rows: DataFrame, model: PipelineModel) -> DataFrame:
     return got.drop("_p", "scaled", "rawPrediction", "probability", "prediction")
 
 
+def certificate(rows: DataFrame, model: PipelineModel, label: str = "label", features: str = "features") -> DataFrame:
+    """(label, feature, gradient, n) of a model of fit_classifier over the rows it was fitted on: zero everywhere at the optimum.
+
+    The mean loss of balanced classes plus the penalty, differentiated by each coefficient;
+    probabilities are computed anew from coefficients and standardised features, in
+    expressions, and summed in one aggregate. n is the number of rows of the class.
+    """
+    rows = rows.where(F.col(label).isNotNull() & F.col(features).isNotNull())
+    weights = class_weights(rows, label)
+    n = weights.agg(F.sum("n_class")).first()[0]
+    last, names = model.stages[2], classes_of(model)
+    scaled = vector_to_array(F.col("scaled"))
+    rows = model.stages[1].transform(rows).join(F.broadcast(weights.select(label, "class_weight")), label).select(label, "class_weight", scaled.alias("x"))  # a row for each class
+    margin = [F.aggregate(F.zip_with("x", F.array(*map(F.lit, last.coefficientMatrix.toArray()[k].tolist())), lambda a, b: a * b), F.lit(float(last.interceptVector[k])), lambda s, v: s + v) for k in range(len(names))]
+    rows = rows.withColumn("m", F.array(*margin))
+    rows = rows.withColumn("e", F.transform("m", lambda v: F.exp(v - F.array_max("m")))).withColumn("all", F.aggregate("e", F.lit(0.0), lambda s, v: s + v))
+    width = len(last.coefficientMatrix.toArray()[0])
+    off = lambda k: F.col("class_weight") * (F.col("e")[k] / F.col("all") - (F.col(label) == names[k]).cast("double"))
+    sums = rows.agg(F.sum("class_weight").alias("w"), *(F.sum(off(k) * F.col("x")[j]).alias(f"g{k}_{j}") for k in range(len(names)) for j in range(width)), *(F.count_if(F.col(label) == name).alias(f"n{k}") for k, name in enumerate(names)))
+    penalty = lambda k, j: F.lit(float(last.coefficientMatrix.toArray()[k][j]) / n)  # noqa: E731  regParam is 1 / n
+    cells = F.array(*(F.struct(F.lit(names[k]).alias("label"), F.lit(j).cast("long").alias("feature"), (F.col(f"g{k}_{j}") / F.col("w") + penalty(k, j)).alias("gradient"), F.col(f"n{k}").alias("n")) for k in range(len(names)) for j in range(width)))
+    return sums.select(F.inline(cells))
+
+
 def sensitivity(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
     """Sensitivity with its normal 95 % interval, of boolean columns."""
     hits, all_ = F.count_if(F.col(predicted) & F.col(actual)), F.count_if(F.col(actual))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import automaton, detect, rules, text
@@ -535,6 +536,44 @@ def embedding_pool(spark, d):
     return got.select("label", F.posexplode("embedding").alias("i", "mean")).select("label", (F.col("i") + 1).cast("long").alias("i"), F.round("mean", 6).alias("mean"))
 
 
+def counting_encoder():
+    """An encoder for queries: length, letters e and blanks of a text."""
+
+    def encode(texts):
+        return np.array([[len(t), t.count("e"), t.count(" ")] for t in texts], dtype=np.float32)
+
+    return encode
+
+
+@query("embed_documents", r"""SELECT doc_id, count(*) AS windows, round(sum(m * length(t)) / sum(m), 4) AS chars, round(sum(m * (length(t) - length(replace(t, 'e', '')))) / sum(m), 4) AS es, round(sum(m * (m - 1)) / sum(m), 4) AS blanks
+FROM (SELECT doc_id, array_to_string(w[k * 45 + 1:k * 45 + 60], ' ') AS t, least(60, len(w) - k * 45) AS m FROM (SELECT doc_id, w, unnest(range(0, greatest(ceil((len(w) - 15) / 45.0), 1)::BIGINT)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '""" + WORD + """') AS w FROM documents) WHERE len(w) > 0)) GROUP BY doc_id""")
+def embed_documents(spark, d):
+    """Documents by an encoder of the caller's: overlapping windows of words, a batch at a time, pooled by their words."""
+    docs = table(spark, d, "documents").select("doc_id", text.words(F.col("text")).alias("tokens"))
+    windows = emb.token_windows(docs, size=60, overlap=15).withColumn("text", F.array_join("window_tokens", " "))
+    got = emb.pooled(emb.embedded(windows, counting_encoder), "doc_id").join(windows.groupBy("doc_id").agg(F.count("*").alias("windows")), "doc_id")
+    return got.select("doc_id", "windows", *(F.round(F.col("embedding")[k], 4).alias(n) for k, n in enumerate(("chars", "es", "blanks"))))
+
+
+def word_tagger():
+    """A tagger for queries: the first `password` of a text; it fails on texts with `secret`."""
+
+    def tag(said):
+        if "secret" in said:
+            raise ValueError("secret")
+        at = said.find("password")
+        return [{"text": "password", "label": "ACCESS", "score": 0.9, "start": at, "end": at + 8}] if at >= 0 else []
+
+    return tag
+
+
+@query("tag_documents", "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN NOT s THEN 'password' END AS text, CASE WHEN NOT s THEN instr(t, 'password') - 1 END::INTEGER AS start, CASE WHEN NOT s THEN 'words' END AS kind, CASE WHEN s THEN 'ValueError: secret' END AS warning FROM (SELECT doc_id, text AS t, contains(text, 'secret') AS s FROM documents) WHERE s OR contains(t, 'password')")
+def tag_documents(spark, d):
+    """Entities by a tagger of the caller's; a text that it fails on is a row with a warning."""
+    got = ent.tagged(table(spark, d, "documents"), word_tagger, "words")
+    return got.select("doc_id", "text", "start", F.when(F.col("warning").isNull(), F.col("ner_model")).alias("kind"), "warning")
+
+
 @query("l2_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm2, 1.0::DOUBLE AS unit_norm2 FROM embeddings")
 def l2_normalize(spark, d):
     scaled = F.transform("embedding", lambda x: x.cast("double"))
@@ -840,6 +879,13 @@ def fit_classifier(spark, d):
     return ml.score_classifier(rows, model).select("doc_id", "label", "notification_type", "confidence")
 
 
+@query("fit_certificate", "SELECT label, feature, TRUE AS optimal, n FROM (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS label, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1), (SELECT unnest(range(5)) AS feature)")
+def fit_certificate(spark, d):
+    """For each class and feature whether the fitted model is where the penalised loss is least: the gradient, recomputed from its coefficients over all rows, vanishes."""
+    rows = training_rows(spark, d)
+    return ml.certificate(rows, ml.fit_classifier(rows)).select("label", "feature", (F.abs("gradient") < 1e-4).alias("optimal"), "n")
+
+
 @query("model_save_load", "SELECT doc_id, TRUE AS same FROM labels JOIN documents USING (doc_id)")
 def model_save_load(spark, d):
     """A model that was written and read back gives every row the same type and confidence."""
@@ -869,16 +915,35 @@ def stream_counts(spark, d):
     return counts(table(spark, d, "events"))
 
 
-@query("stream_case_state", "SELECT case_id, arg_max(case_status, (ts, event_id)) AS case_status, count(*) AS n_events FROM decisions GROUP BY 1", (v.DECISIONS,))
+LATE = """timed AS (SELECT *, epoch_ms(ts) AS ms, event_id % 50 = 0 AS late FROM events),
+spread AS (SELECT *, CASE WHEN late THEN 3 ELSE least(2, (ms - min(ms) OVER ()) * 3 // greatest(1, max(ms) OVER () - min(ms) OVER ())) END AS batch FROM timed),
+week AS (SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2024-01-01') AS week_start, (SELECT max(ms) FROM spread WHERE batch < 2) - 2 * 86400000 AS mark FROM spread)"""
+
+
+@query("stream_counts_late", "SELECT week_start, count(*) AS total, round(avg(value), 6) AS avg_value FROM week WHERE NOT late OR epoch_ms(week_start) + 7 * 86400000 > mark GROUP BY 1", (LATE,))
+def stream_counts_late(spark, d):
+    """Counts of a stream of four batches in order of time, the last of rows that come late: weeks that ended before the watermark (of the batch before the last one) take no more."""
+    folder, out, check = (shared_folder(spark, n) for n in ("events", "weeks", "checkpoint"))
+    rows = table(spark, d, "events").select("event_id", "ts", "value").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    low, high = rows.agg(F.min("ms"), F.max("ms")).first()
+    third = F.least(F.lit(2), F.floor((F.col("ms") - low) * 3 / max(1, high - low)))
+    rows = rows.withColumn("delivery", F.when(F.col("event_id") % 50 == 0, 3).otherwise(third))
+    for k in range(4):
+        rows.where(F.col("delivery") == k).select("ts", "value").coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.table_stream(spark, folder, spark.read.parquet(folder).schema, per_trigger=1)
+    jobs.stream_weeks(jobs.stream_counts(stream), out, check).awaitTermination()
+    return jobs.weeks(spark, out)
+
+
+@query("stream_case_state", "SELECT case_id, arg_max(case_status, (ts, event_id)) AS case_status, arg_max(assigned_to, (ts, event_id)) FILTER (assigned_to IS NOT NULL) AS assigned_to, arg_max(notes, (ts, event_id)) FILTER (notes IS NOT NULL) AS notes, count(*) AS n_events FROM decisions GROUP BY 1", (v.DECISIONS,))
 def stream_case_state(spark, d):
-    """What the stream's table gives after the last batch."""
-    from ..streaming.jobs import decisions_of
-
-    rows = table(spark, d, "events")
-    action = F.create_map(*(F.lit(x) for pair in v.ACTIONS.items() for x in pair))[F.col("event_type")]
-    nothing = F.lit(None).cast("string")
-    log = rows.select(F.col("user_id").alias("case_id"), "ts", "event_id", action.alias("action"), nothing.alias("assigned_to"), nothing.alias("notes"))
-    return workflow.latest_status(decisions_of(log)).select("case_id", "case_status", "n_events")
+    """Each case's state after a stream of three batches, in no order of time."""
+    folder, out, check = (shared_folder(spark, n) for n in ("decisions", "cases", "checkpoint"))
+    rows = v.decisions(spark, d).drop("case_status")
+    rows.repartition(3, "event_id").write.parquet(folder)
+    stream = jobs.table_stream(spark, folder, rows.schema, per_trigger=1)
+    jobs.stream_case_state(spark, stream, out, check).awaitTermination()
+    return jobs.case_states(spark, out).drop("status_updated_at")
 
 
 @query("stream_dedupe", "SELECT DISTINCT sha256(coalesce(text, '') || chr(10)) AS doc_id FROM documents")

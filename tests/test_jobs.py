@@ -159,8 +159,8 @@ def test_stream_state_and_counts(spark, tmp_path):
     rows.repartition(3).write.parquet(str(tmp_path / "ev"))
     stream = jobs.table_stream(spark, str(tmp_path / "ev"), rows.schema, per_trigger=1)
     jobs.stream_case_state(spark, stream, str(tmp_path / "st"), str(tmp_path / "ck")).awaitTermination()
-    got = {r.case_id: (r.case_status, r.n_events) for r in jobs.case_states(spark, str(tmp_path / "st")).collect()}
-    want = {r.case_id: (r.case_status, r.n_events) for r in workflow.latest_status(jobs.decisions_of(rows)).collect()}
+    got = {r.case_id: (r.case_status, r.assigned_to, r.notes, r.status_updated_at, r.n_events) for r in jobs.case_states(spark, str(tmp_path / "st")).collect()}
+    want = {r.case_id: (r.case_status, r.assigned_to, r.notes, r.status_updated_at, r.n_events) for r in workflow.latest_status(jobs.decisions_of(rows)).collect()}
     assert got == want
     q = jobs.stream_counts(stream, delay="400 days").writeStream.outputMode("complete").format("memory").queryName("weeks").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -264,3 +264,28 @@ def test_a_batch_counts_whole_or_not_at_all(spark, tmp_path):
         run.put(rows.limit(1), "a")
         run.put(rows.limit(2), "b")
     assert (store.read("a").count(), store.read("b").count(), store.read("c", "x int").count()) == (1, 2, 0)
+
+
+def test_case_state_goes_on_after_a_restart(spark, tmp_path):
+    """State is kept between runs of the stream; an older event that comes later changes the count alone."""
+    schema = "case_id string, ts timestamp, event_id long, action string, assigned_to string, notes string"
+    at = lambda k: dt.datetime(2025, 1, 1, k)
+    for rows, want in (
+        ([("c", at(3), 3, "open", "ana", None), ("d", at(1), 1, "archive", None, "n")], {"c": ("em análise", "ana", None, 1), "d": ("arquivado", None, "n", 1)}),
+        ([("c", at(2), 2, "archive", "bia", "old"), ("c", at(4), 4, "view", None, None)], {"c": ("em análise", "ana", "old", 2), "d": ("arquivado", None, "n", 1)}),
+        ([("c", at(5), 5, "confirm", None, None)], {"c": ("notificado", "ana", "old", 3), "d": ("arquivado", None, "n", 1)}),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.table_stream(spark, str(tmp_path / "in"), schema)
+        jobs.stream_case_state(spark, stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        assert {r.case_id: (r.case_status, r.assigned_to, r.notes, r.n_events) for r in jobs.case_states(spark, str(tmp_path / "out")).collect()} == want
+
+
+def test_certificate_tells_a_model_that_is_off(spark):
+    """The gradient vanishes at the fitted model and not at one fitted on other rows."""
+    from carewatch.plans import queries as q
+
+    rows = q.training_rows(spark, "/root/testdata/sf0.001").cache()
+    fitted, other = ml.fit_classifier(rows), ml.fit_classifier(rows.where("doc_id % 3 = 0"))
+    worst = lambda m: max(abs(r.gradient) for r in ml.certificate(rows, m).collect())
+    assert worst(fitted) < 1e-4 < 1e-2 < worst(other)

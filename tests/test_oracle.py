@@ -13,7 +13,7 @@ def test_equals_sql(spark, same, name):
     same(QUERIES[name](spark, DATA), SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"fit_classifier"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
 
