@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,6 +132,23 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept_rows(docs: DataFrame, chosen: Callable[[DataFrame, Scratch], DataFrame]) -> DataFrame:
+    """The rows of docs whose numbers chosen(rows, scratch) gives as (row); columns are those of docs.
+
+    rows has each row of docs as a struct `doc`, its number `row` and its `part`. They are
+    stored where they were read and not shuffled: the numbers that are kept move to them.
+    """
+    home, out = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    try:
+        rows = home.in_place(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+        keep = home.stored(chosen(rows, home), "keep")
+        with home.together():
+            return out.stored(rows.join(keep.select(home.home("row"), "row"), ["part", "row"], "left_semi").select("doc.*"), "kept")
+    finally:
+        if "rows" in home.tables:
+            home.drop_table("rows")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reached.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, kept_rows
 
 BLANKS = b" \t\n\r\x0b\x0c"
 #: Bytes of a chunk. A chunk's products of a byte and a power sum to under 2**63.
@@ -151,10 +151,12 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     different texts are different documents, and a row without a doc_id stays only where
     its class has none with one as long.
     """
-    scratch = Scratch(docs.sparkSession)
-    docs, row = scratch.numbered(docs, "rows")
-    keep = members_of(docs, scratch, chunk, row=row).groupBy("class").agg(F.min_by("row", precedence()).alias(row)).select(row)
-    return docs.join(keep, row, "left_semi").drop(row)
+
+    def chosen(rows: DataFrame, _: Scratch) -> DataFrame:
+        texts = rows.select("doc.doc_id", "doc.text", "row")
+        return members_of(texts, Scratch(docs.sparkSession), chunk, row="row").groupBy("class").agg(F.min_by("row", precedence()).alias("row")).select("row")
+
+    return kept_rows(docs, chosen)
 
 
 OP4_SQL = """
