@@ -556,18 +556,18 @@ def embed_documents(spark, d):
 
 
 def word_tagger():
-    """A tagger for queries: the first `password` of a text; it fails on texts with `secret`."""
+    """A tagger for queries: the first `stupid` of a text; it fails on texts with `rights`."""
 
     def tag(said):
-        if "secret" in said:
-            raise ValueError("secret")
-        at = said.find("password")
-        return [{"text": "password", "label": "ACCESS", "score": 0.9, "start": at, "end": at + 8}] if at >= 0 else []
+        if "rights" in said:
+            raise ValueError("rights")
+        at = said.find("stupid")
+        return [{"text": "stupid", "label": "INSULT", "score": 0.9, "start": at, "end": at + 6}] if at >= 0 else []
 
     return tag
 
 
-@query("tag_documents", "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN NOT s THEN 'password' END AS text, CASE WHEN NOT s THEN instr(t, 'password') - 1 END::INTEGER AS start, CASE WHEN NOT s THEN 'words' END AS kind, CASE WHEN s THEN 'ValueError: secret' END AS warning FROM (SELECT doc_id, text AS t, contains(text, 'secret') AS s FROM documents) WHERE s OR contains(t, 'password')")
+@query("tag_documents", "SELECT doc_id::VARCHAR AS doc_id, CASE WHEN NOT s THEN 'stupid' END AS text, CASE WHEN NOT s THEN instr(t, 'stupid') - 1 END::INTEGER AS start, CASE WHEN NOT s THEN 'words' END AS kind, CASE WHEN s THEN 'ValueError: rights' END AS warning FROM (SELECT doc_id, text AS t, contains(text, 'rights') AS s FROM documents) WHERE s OR contains(t, 'stupid')")
 def tag_documents(spark, d):
     """Entities by a tagger of the caller's; a text that it fails on is a row with a warning."""
     got = ent.tagged(table(spark, d, "documents"), word_tagger, "words")
@@ -965,17 +965,17 @@ def stream_ingest(spark, d):
 
 
 def counting_words():
-    """An analysis of the caller's that fails on texts with a password."""
+    """An analysis of the caller's that fails on texts with an insult."""
 
     def analyse(said):
-        if "password" in said:
-            raise ValueError("secret")
+        if "stupid" in said:
+            raise ValueError("insult")
         return {"words": len(said.split())}
 
     return analyse
 
 
-@query("stream_sink", r"SELECT coalesce(CASE WHEN contains(t, 'password') THEN 'ValueError: secret' END, 'analysed') AS outcome, count(*) AS files, sum(CASE WHEN contains(t, 'password') THEN NULL ELSE len(regexp_extract_all(t, '" + WORD + "')) END)::BIGINT AS words FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents) GROUP BY 1")
+@query("stream_sink", r"SELECT coalesce(CASE WHEN contains(t, 'stupid') THEN 'ValueError: insult' END, 'analysed') AS outcome, count(*) AS files, sum(CASE WHEN contains(t, 'stupid') THEN NULL ELSE len(regexp_extract_all(t, '" + WORD + "')) END)::BIGINT AS words FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents) GROUP BY 1")
 def stream_sink(spark, d):
     """What became of every file where an analysis fails on some texts: each of them is one dead letter, the others are stored."""
     out, check = shared_folder(spark, "sunk"), shared_folder(spark, "checkpoint")
