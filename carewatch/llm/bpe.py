@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: States, pairs of tokens and pieces of text that a worker remembers before it starts afresh; what it gives doesn't depend on them.
-MOST, PAIRS, PIECES = 120_000, 200_000, 300_000
+MOST, PAIRS, PIECES = 300_000, 1_000_000, 600_000
 #: Longest piece whose ids are remembered, in characters.
 WORD_CHARS = 48
 

@@ -736,3 +736,19 @@ def test_pipeline_stages(spark):
     want = {r.doc_id: -(-r.taken // r.size) for r in mixing.mix(before).collect() if r.taken}
     assert {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()} == want
     assert docs.where("not decodes").count() == 0 and docs.where("n_tokens * 4 != octet_length(ids)").count() == 0
+
+
+def test_many_pieces_are_read_once():
+    """As many different pieces as a task's documents have are remembered, not forgotten on the way and read again."""
+    class Machine:
+        calls = 0
+
+        def encode(self, data):
+            self.calls += 1
+            return [len(data)]
+
+    words = bpe.Words(Machine())
+    for _ in range(2):
+        for k in range(400_000):
+            words[str(k)]
+    assert words.machine.calls == 400_000
