@@ -12,7 +12,7 @@ from ..operators import embeddings as emb
 from ..operators import entities as ent
 from ..operators import ml, privacy, workflow
 from ..sources import files as src
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, stored
 from ..streaming import jobs
 from . import views as v
 from .views import table
@@ -862,14 +862,15 @@ def vector_concat(spark, d):
 
 
 def training_rows(spark, d):
-    """Statistics of documents as features, labels.quality as the label."""
+    """Statistics of documents as features, computed once, and labels.quality as the label."""
     from pyspark.ml.functions import array_to_vector
 
     s = text.text_stats(F.col("text"))
     marks = F.coalesce(F.try_divide(F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s.,]")), F.length("text")), F.lit(0.0))
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     rows = docs.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"), s.alias("s"), marks.alias("m"))
-    return rows.select("doc_id", "label", array_to_vector(F.array("s.char_count", "s.word_count", "s.avg_word_len", "s.avg_sentence_len", "m")).alias("features"))
+    rows = rows.select("doc_id", "label", array_to_vector(F.array("s.char_count", "s.word_count", "s.avg_word_len", "s.avg_sentence_len", "m")).alias("features"))
+    return stored(rows, shared_folder(spark, "training"))  # fits and scores read them many times
 
 
 @query("fit_classifier")
