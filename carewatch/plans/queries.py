@@ -107,9 +107,10 @@ def read_files(spark, d):
 
 
 def persisted(spark, d):
-    """The store of every document's analysis, written twice as one batch."""
+    """The store of every document's analysis, made once and written twice as one batch."""
     path = shared_folder(spark, "tables")
     rows = analysed(spark, d).withColumn("page_number", F.lit(None).cast("int")).withColumn("month", F.concat(F.lit("m"), F.col("doc_id") % 3))
+    rows = stored(rows, shared_folder(spark, "analysed"))
     return [src.persist_tables(rows, path) for _ in range(2)][-1]
 
 
