@@ -37,11 +37,12 @@ def stub_encoder(dim: int = 4):
     return make
 
 
-def pooled(windows: DataFrame, key: str, vector: str = "embedding", weight: str = "n_tokens") -> DataFrame:
-    """Weighted mean vector of each key."""
+def pooled(windows: DataFrame, key: str, vector: str = "embedding", weight: str = "n_tokens", count: str | None = None) -> DataFrame:
+    """Weighted mean vector of each key; `count` names a column for the number of its rows."""
     mean = Summarizer.metrics("mean").summary(F.col("_v"), F.col(weight).cast("double"))
     rows = windows.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    return rows.groupBy(key).agg(mean.alias("_s")).select(key, vector_to_array("_s.mean").alias(vector))
+    got = rows.groupBy(key).agg(mean.alias("_s"), F.count("*").alias("_n"))
+    return got.select(key, vector_to_array("_s.mean").alias(vector), *([F.col("_n").alias(count)] if count else []))
 
 
 def l2_norm(vector: Column) -> Column:
