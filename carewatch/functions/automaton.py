@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .detect import FLAT, described, let, without_overlaps
+from .detect import FLAT, described, let, match_by_join, without_overlaps
 from .lexicon import NEGATIONS
 
 #: Terms up to which a lexicon is collected and sent to every worker; larger ones go through detect.match_by_join.
@@ -118,6 +118,17 @@ def matched(docs: DataFrame, lexicon: DataFrame, text: str = "text", most_terms:
     return docs.withColumn(out, spans(F.col(text))).withColumn(out, without_overlaps(F.col(out)))
 
 
+def word_hits(docs: DataFrame, key: str, lexicon: DataFrame, most_terms: int = MOST_TERMS) -> DataFrame:
+    """(key, category, term) of every hit of a lexicon of single words in the column text.
+
+    Up to most_terms terms make one automaton; more go through detect.match_by_join, so
+    none is left out. Single words don't overlap, hence both ways give the same hits.
+    """
+    if lexicon.limit(most_terms + 1).count() > most_terms:
+        return match_by_join(docs, key, lexicon).select(key, "category", "term")
+    return matched(docs, lexicon, most_terms=most_terms).select(key, F.explode("spans").alias("h")).select(key, "h.category", "h.term")
+
+
 def detected(docs: DataFrame, lexicon: DataFrame, cues: list[str] = NEGATIONS, window: int = 120, text: str = "text", most_terms: int = MOST_TERMS) -> DataFrame:
     """docs with detections, as rules.detected() gives, of the spans of matched(); negation, context and sentences are expressions."""
     whole = F.coalesce(F.col(text), F.lit(""))

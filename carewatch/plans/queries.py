@@ -299,13 +299,13 @@ VOCABULARY = "vocabulary AS (SELECT DISTINCT term, 'words of ' || length(term) %
 
 @query("lexicon_match_automaton", "SELECT doc_id, category, count(*) AS n, sum(length(term))::BIGINT AS chars FROM tokens JOIN vocabulary USING (term) GROUP BY ALL", (TOKENS, VOCABULARY))
 def lexicon_match_automaton(spark, d):
-    """Hits per document and category of all words of even length that the documents have, by one automaton."""
+    """Hits per document and category of all words of even length that the documents have, by one automaton while they are few enough."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}\p{N}_]+"), F.lit(0))).alias("term")).where(F.length("term") % 2 == 0).distinct()
     rank = F.length("term") % 3
     lexicon = words.select(F.concat(F.lit("words of "), rank).alias("category"), rank.alias("category_rank"), F.lit(1.0).alias("weight"), "term")
-    hits = automaton.matched(docs, lexicon).select("doc_id", F.explode("spans").alias("h"))
-    return hits.groupBy("doc_id", "h.category").agg(F.count("*").alias("n"), F.sum(F.length("h.term")).cast("long").alias("chars"))
+    hits = automaton.word_hits(docs, "doc_id", stored(lexicon, shared_folder(spark, "lexicon")))
+    return hits.groupBy("doc_id", "category").agg(F.count("*").alias("n"), F.sum(F.length("term")).cast("long").alias("chars"))
 
 
 #: Hits of the one-word lexicon with their offsets: words and what stands between them, summed up.
