@@ -95,11 +95,10 @@ def csv_value_counts(spark, d):
 
 
 def text_files(spark, d):
-    """A folder with a file for each document; tasks move their files there, not the driver one after the other."""
+    """A folder with a file for each document."""
     path = shared_folder(spark, "files")
-    rows = table(spark, d, "documents").select(F.coalesce("text", F.lit("")))
-    write = rows.repartition(4 * spark.sparkContext.defaultParallelism).write  # a file takes some milliseconds, whatever its length
-    write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    rows = table(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("text"))
+    src.write_files(rows.repartition(4 * spark.sparkContext.defaultParallelism), path)  # a file takes its time, whatever its length
     return path
 
 

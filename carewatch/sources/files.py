@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,34 @@ def read_files(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFra
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file of its own, ended by a line feed, for each row of rows(text), under a folder that all machines share.
+
+    Where the folder is in a file system that is mounted, tasks write the files themselves:
+    Hadoop's local file system starts a process for the mode of each file and of its
+    checksum. Elsewhere Spark's writer does it. A task that runs again writes the same files.
+    """
+    at = urlparse(folder)
+    if at.scheme not in ("", "file"):
+        rows.select("text").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)
+        return
+    local = unquote(at.path) if at.scheme else folder
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get(), 0
+        hidden = f"{local}/.{task.taskAttemptId()}"  # a file has its name once it is whole
+        for batch in batches:
+            for said in batch.column(0).to_pylist():
+                with open(hidden, "wb", 0) as f:
+                    f.write(said + b"\n")
+                os.replace(hidden, f"{local}/part-{task.partitionId():05d}-{n}.txt")
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+    os.makedirs(local)
+    rows.select(F.col("text").cast("binary")).mapInArrow(put, "n long").agg(F.sum("n")).first()
+
+
 def decode_text(content):
     """UTF-8 with U+FFFD for bytes that aren't."""
     return F.make_valid_utf8(content.cast("string"))
