@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
@@ -81,6 +81,15 @@ def paired(lists: DataFrame, *keys: str) -> DataFrame:
     return ordered.select(F.explode(F.flatten(one)).alias("p")).select("p.a", "p.b")
 
 
+def sized(lists: DataFrame, *keys: str) -> DataFrame:
+    """Members of lists with more than one, with their number n.
+
+    A window counts them where they meet: of postings, which an explode made, Spark expects
+    as few bytes as of the fingerprints, and would send all lists' sizes over the driver in a join.
+    """
+    return lists.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).where("n > 1")
+
+
 def linked_in_list(pdf: pd.DataFrame, max_bits: int) -> pd.DataFrame:
     """Edges from each member of a list, whose members differ in two bytes alone, to the first of those it reaches over max_bits or fewer bits at a time.
 
@@ -124,14 +133,12 @@ def links(prints: DataFrame, scratch: Scratch, max_bits: int = 2, long_list: int
     prints = scratch.stored(prints.select("fp"), "fingerprints")
     tasks = max(1, -(-prints.count() // TASK_PRINTS))  # a number of its own: few bytes become many rows
     posted = prints.repartition(tasks, "fp").select("fp", mask(CHOSEN)).select("fp", F.xxhash64("mask", fp.bitwiseAND(F.col("mask"))).alias("key"))
-    sizes = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = scratch.stored(posted.join(sizes, "key"), "lists")
+    lists = scratch.stored(sized(posted, "key"), "lists")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     tally = paired(lists.where(F.col("n") <= long_list), "key").groupBy("a", "b").agg(F.count("*").alias("shared"))
     found = tally.where(F.col("shared") >= comb(8 - max_bits, CHOSEN)).where(near).select("a", "b")
     apart = lists.where(F.col("n") > long_list).select("fp").distinct().repartition(tasks, "fp").select("fp", mask(8 - 2)).select("fp", "mask", fp.bitwiseAND(F.col("mask")).alias("value"))
-    sizes = apart.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-    finer = scratch.stored(apart.join(sizes, ["mask", "value"]), "finer")
+    finer = scratch.stored(sized(apart, "mask", "value"), "finer")
     short = paired(finer.where(F.col("n") <= long_list), "mask", "value").where(near).distinct()
     long = finer.where(F.col("n") > long_list).select("mask", "value", "fp").groupBy("mask", "value").applyInPandas(lambda pdf: linked_in_list(pdf, max_bits), "a long, b long")
     return found.union(short).union(long)
