@@ -553,7 +553,7 @@ def embed_documents(spark, d):
     """Documents by an encoder of the caller's: overlapping windows of words, a batch at a time, pooled by their words."""
     docs = table(spark, d, "documents").select("doc_id", text.words(F.col("text")).alias("tokens"))
     windows = emb.token_windows(docs, size=60, overlap=15).withColumn("text", F.array_join("window_tokens", " "))
-    got = emb.pooled(emb.embedded(windows.select("doc_id", "text", "n_tokens"), counting_encoder), "doc_id", count="windows")
+    got = emb.encoded_means(windows, counting_encoder, "doc_id", count="windows")
     return got.select("doc_id", "windows", *(F.round(F.col("embedding")[k], 4).alias(n) for k, n in enumerate(("chars", "es", "blanks"))))
 
 
